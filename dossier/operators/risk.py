@@ -11,8 +11,8 @@ _FLAGS = ("forensic_high", "forensic_medium", "validation_fail", "expired", "mrz
 
 
 def case_evidence(cases: DataFrame, docs: DataFrame, findings: DataFrame, forensics: DataFrame,
-                  validations: DataFrame, fields: DataFrame) -> DataFrame:
-    """One row of counts and flags per case.
+                  validations: DataFrame, wide: DataFrame) -> DataFrame:
+    """One row of counts and flags per case; ``wide`` gives the field rows of each document.
 
     All sources are mapped to one narrow shape and aggregated in a single pass by
     case, so the case key is shuffled once and partially summed before.
@@ -49,7 +49,7 @@ def case_evidence(cases: DataFrame, docs: DataFrame, findings: DataFrame, forens
                mrz_pass=one((check == "MRZ checksum") & (status == "pass")),
                reuse_hits=one(check == "Duplicate / reuse"), checks=F.lit(1),
                checks_ok=one(status.isin("pass", "unavailable"))),
-        shaped(fields, n_fields=F.lit(1)),
+        shaped(wide, n_fields=F.col("n_fields")),
         shaped(docs, n_docs=F.lit(1), n_read=one(F.col("ocr_mean_confidence").isNotNull())
                if "ocr_mean_confidence" in docs.columns else zero),
         shaped(cases)]

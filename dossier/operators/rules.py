@@ -9,14 +9,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from dossier import policy
 from dossier.functions.dates import age_at, parse_date
 from dossier.functions.text import name_tokens, name_tokens_agree, normalize_name, ratio, string_similarity, title_code
-from dossier.operators.validation import by_document
 from dossier.session import cut
 
 
-def _wide(docs: DataFrame, fields: DataFrame, names: list[str]) -> DataFrame:
-    return docs.select("case_id", "document_id", "document_type", "file_name", "doc_ord").join(
-        by_document(fields, names), "document_id", "left").withColumn(
-        "kind", F.lower(F.trim(F.coalesce("document_type", F.lit("")))))
+def _kind() -> Column:
+    return F.lower(F.trim(F.coalesce("document_type", F.lit(""))))
 
 
 def _row(df: DataFrame, rule: str, status: Column, severity: Column, text: Column) -> DataFrame:
@@ -24,10 +21,10 @@ def _row(df: DataFrame, rule: str, status: Column, severity: Column, text: Colum
                      text.alias("explanation"))
 
 
-def rule_age(docs: DataFrame, fields: DataFrame, least_age: int = 18) -> DataFrame:
+def rule_age(wide: DataFrame, least_age: int = 18) -> DataFrame:
     """Licences and voter cards issued before the age of 18, by the first birth date of the case."""
-    wide = _wide(docs, fields, ["date_of_birth", "issue_date"]).select(
-        "case_id", "document_id", "file_name", "doc_ord", "kind", "date_of_birth",
+    wide = wide.select(
+        "case_id", "document_id", "file_name", "doc_ord", _kind().alias("kind"), "date_of_birth",
         parse_date("issue_date").alias("issued"))
     births = wide.groupBy("case_id").agg(F.min_by(
         "date_of_birth", F.when(F.coalesce("date_of_birth", F.lit("")) != "", F.struct("doc_ord", "document_id")))
@@ -50,9 +47,9 @@ def rule_age(docs: DataFrame, fields: DataFrame, least_age: int = 18) -> DataFra
                 F.when(bad, "high").otherwise("info"), text)
 
 
-def date_issues(docs: DataFrame, fields: DataFrame, as_of: Column) -> DataFrame:
+def date_issues(wide: DataFrame, as_of: Column) -> DataFrame:
     """One row per date out of order: births or issues in the future, expiry not after issue."""
-    wide = _wide(docs, fields, ["date_of_birth", "issue_date", "expiry_date"]).select(
+    wide = wide.select(
         "case_id", "document_id", "file_name", "doc_ord", parse_date("date_of_birth").alias("born"),
         parse_date("issue_date").alias("issued"), parse_date("expiry_date").alias("ends"))
 
@@ -85,9 +82,9 @@ def rule_dates(docs: DataFrame, issues: DataFrame) -> DataFrame:
                 F.when(bad, "high").otherwise("info"), text)
 
 
-def rule_pan(docs: DataFrame, fields: DataFrame) -> DataFrame:
+def rule_pan(wide: DataFrame) -> DataFrame:
     """Fifth character of the first tax number against the initial of the first surname."""
-    wide = _wide(docs, fields, ["document_number", "surname_part", "full_name"])
+    wide = wide.withColumn("kind", _kind())
     number, pos = F.col("document_number"), F.struct("doc_ord", "document_id")
     tax = ((F.col("kind") == "pan") | number.rlike("^[A-Za-z]{5}[0-9]{4}[A-Za-z]$")) & (F.length(number) == 10)
     words = F.split(F.regexp_replace(F.trim("full_name"), r"\s+", " "), " ")
@@ -117,9 +114,9 @@ def rule_pan(docs: DataFrame, fields: DataFrame) -> DataFrame:
     return _row(judged, "RULE-PAN-001", status, severity, text)
 
 
-def rule_parent(docs: DataFrame, fields: DataFrame, field_name: str = "father_name", least: float = 0.75) -> DataFrame:
+def rule_parent(wide: DataFrame, field_name: str = "father_name", least: float = 0.75) -> DataFrame:
     """Every parent name against the first: no match and little likeness is a conflict."""
-    own = fields.filter((F.col("field_name") == field_name) & (F.coalesce("value", F.lit("")) != ""))
+    own = wide.filter(F.coalesce(field_name, F.lit("")) != "").withColumn("value", F.col(field_name))
     pos = F.struct("doc_ord", "document_id")
     heads = own.groupBy("case_id").agg(F.count("*").alias("n"), F.min(F.struct(pos.alias("pos"), "value", "file_name"))
                                        .alias("ref"))
@@ -130,7 +127,7 @@ def rule_parent(docs: DataFrame, fields: DataFrame, field_name: str = "father_na
     unlike = against.withColumn("likeness", string_similarity(F.col("ref.value"), F.col("value"))).filter(
         F.col("likeness") < least)
     worst = unlike.groupBy("case_id").agg(F.min(F.struct("at", "value")).alias("bad"))
-    judged = docs.select("case_id").distinct().join(heads, "case_id", "left").join(worst, "case_id", "left")
+    judged = wide.select("case_id").distinct().join(heads, "case_id", "left").join(worst, "case_id", "left")
     few, bad = F.coalesce(F.col("n"), F.lit(0)) < 2, F.col("bad").isNotNull()
     text = (
         F.when(few, "Fewer than two documents contain Father/Guardian name fields.")

@@ -12,15 +12,25 @@ from dossier.functions.text import clean_number, names_match, present
 from dossier.operators.listing import best_candidate, ordinals
 
 
-def by_document(fields: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One row per document with a column per field; of repeated rows the last (``field_id``) counts."""
+WIDE_FIELDS = tuple(f for f in policy.FIELD_LABELS if f != "facial_photo") + ("surname_part",)
+
+
+def by_document(docs: DataFrame, fields: DataFrame, names: Sequence[str] = WIDE_FIELDS) -> DataFrame:
+    """One row per document with a column per field and the number of field rows.
+
+    Of repeated rows the last (``field_id``) counts. The checks, rules and
+    cross-checks all read this table, so the long form is turned once.
+    """
     def pick(name: str) -> Column:
         own = F.col("field_name") == name
         if "field_id" in fields.columns:
             return F.max_by(F.when(own, F.col("value")), F.when(own, F.col("field_id")))
         return F.max(F.when(own, F.col("value")))
 
-    return fields.groupBy("document_id").agg(*[pick(n).alias(n) for n in names])
+    turned = fields.groupBy("document_id").agg(
+        F.count("*").alias("n_fields"), *[pick(n).alias(n) for n in names])
+    return docs.select("case_id", "document_id", "document_type", "file_name", "doc_ord").join(
+        turned, "document_id", "left").fillna(0, ["n_fields"])
 
 
 def _check(kind: str, status: Column | str, message: Column) -> Column:
@@ -45,14 +55,10 @@ def lookup(col: Column, table: Mapping[str, object]) -> Column:
     return out
 
 
-def validate_documents(docs: DataFrame, fields: DataFrame, as_of: Column,
+def validate_documents(wide: DataFrame, as_of: Column,
                        patterns: Mapping[str, str] = policy.NUMBER_PATTERNS,
                        mandatory: Mapping[str, Sequence[str]] = policy.MANDATORY_FIELDS) -> DataFrame:
-    """Check rows (case_id, document_id, check_type, status, message) per document."""
-    names = sorted({"document_number", "date_of_birth", "issue_date", "expiry_date"}
-                   | {n for needed in mandatory.values() for n in needed})
-    wide = docs.select("case_id", "document_id", "document_type").join(
-        by_document(fields, names), "document_id", "left")
+    """Check rows (case_id, document_id, check_type, status, message) per document of ``by_document``."""
     kind = F.lower(F.replace(F.coalesce(present("document_type"), F.lit("other")), F.lit(" "), F.lit("_")))
     number = F.upper(F.trim(F.coalesce("document_number", F.lit(""))))
     has_pattern = kind.isin(*patterns)
@@ -127,14 +133,13 @@ def missing_required(docs: DataFrame, fields: DataFrame,
     return wanted.join(held, ["document_id", "field_name"], "left_anti")
 
 
-def document_status(docs: DataFrame, validations: DataFrame, fields: DataFrame) -> DataFrame:
-    """valid, review_required or unable_to_verify per document."""
+def document_status(wide: DataFrame, validations: DataFrame) -> DataFrame:
+    """valid, review_required or unable_to_verify per document (case_id, document_id, document_type, n_fields)."""
     tallies = validations.groupBy("document_id").agg(
         F.count("*").alias("n"),
         *[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("pass", "fail", "warning", "unavailable")])
-    held = fields.groupBy("document_id").agg(F.count("*").alias("n_fields"))
-    rows = docs.select("case_id", "document_id", "document_type").join(tallies, "document_id", "left").join(
-        held, "document_id", "left").fillna(0)
+    rows = wide.select("case_id", "document_id", "document_type", "n_fields").join(
+        tallies, "document_id", "left").fillna(0, tallies.columns[1:])
     status = (
         F.when((F.col("n") > 0) & (F.col("n_unavailable") == F.col("n")), policy.UNABLE)
         .when((F.col("n_fields") == 0) & (F.col("n_pass") == 0), policy.UNABLE)
@@ -232,13 +237,13 @@ def mrz_parse(lines: DataFrame, as_of: Column) -> DataFrame:
 _ZONE_CHECKS = ("document_number", "date_of_birth", "expiry_date", "personal_number", "composite")
 
 
-def mrz_compare(zones: DataFrame, docs: DataFrame, fields: DataFrame) -> DataFrame:
+def mrz_compare(zones: DataFrame, wide: DataFrame) -> DataFrame:
     """Zone against print: a checksum row and number, birth and name rows where both sides exist."""
     wide = zones.select("document_id", "checks", F.col("document_number").alias("zone_number"),
                         F.col("dob").alias("zone_dob"),
-                        F.trim(F.concat_ws(" ", "given_names", "surname")).alias("zone_name")) \
-        .join(by_document(fields, ["document_number", "date_of_birth", "full_name"]), "document_id", "left") \
-        .join(docs.select("case_id", "document_id", "doc_ord"), "document_id")
+                        F.trim(F.concat_ws(" ", "given_names", "surname")).alias("zone_name")).join(
+        wide.select("case_id", "document_id", "doc_ord", "document_number", "date_of_birth", "full_name"),
+        "document_id")
     failed = F.concat_ws(", ", *[F.when(~F.col(f"checks.{c}"), c) for c in _ZONE_CHECKS])
     number, born, name = present("document_number"), present("date_of_birth"), present("full_name")
 
@@ -273,7 +278,7 @@ def parse_payload(df: DataFrame, col: str = "payload") -> DataFrame:
     return df.filter(F.col(col).rlike(r"^\s*\{")).withColumn("object", parsed).filter(F.col("object").isNotNull())
 
 
-def qr_compare(payloads: DataFrame, docs: DataFrame, fields: DataFrame) -> DataFrame:
+def qr_compare(payloads: DataFrame, wide: DataFrame) -> DataFrame:
     """Codes (document_id, payload) against the print; one agreeing payload is enough."""
     key = F.col("object")
     read = parse_payload(payloads).select(
@@ -282,11 +287,12 @@ def qr_compare(payloads: DataFrame, docs: DataFrame, fields: DataFrame) -> DataF
         present(F.trim(F.upper(F.try_element_at(key, F.lit("name"))))).alias("qr_name"),
         present(F.trim(F.coalesce(present(F.try_element_at(key, F.lit("dob"))),
                                   F.try_element_at(key, F.lit("date_of_birth"))))).alias("qr_dob"))
-    printed = by_document(fields, ["document_number", "full_name", "date_of_birth"]).select(
-        "document_id", present(clean_number("document_number")).alias("number"),
+    printed = wide.select(
+        "case_id", "document_id", "doc_ord", present(clean_number("document_number")).alias("number"),
         present("full_name").alias("name"), present("date_of_birth").alias("dob"))
     born = F.coalesce(date_text("qr_dob"), F.col("qr_dob"))
     tallied = read.join(printed, "document_id").groupBy("document_id").agg(
+        F.first("case_id").alias("case_id"), F.first("doc_ord").alias("doc_ord"),
         F.bool_or(F.col("qr_number") == F.col("number")).alias("number_ok"),
         F.bool_or(names_match("name", "qr_name")).alias("name_ok"),
         F.bool_or(F.coalesce(born == date_text("dob"), F.lit(False)) & F.col("qr_dob").isNotNull()
@@ -317,5 +323,4 @@ def qr_compare(payloads: DataFrame, docs: DataFrame, fields: DataFrame) -> DataF
             _say("Date of Birth on QR payload matches printed DOB (", F.col("dob"), ")."),
             _say("QR/DOB mismatch: QR encodes ", F.col("qr_dob"), " but printed reads '", F.col("dob"), "'."),
             "qr_dob")]
-    joined = tallied.join(docs.select("case_id", "document_id", "doc_ord"), "document_id")
-    return _explode_checks(joined, ["case_id", "document_id", "doc_ord"], checks)
+    return _explode_checks(tallied, ["case_id", "document_id", "doc_ord"], checks)

@@ -390,7 +390,7 @@ SELECT user_id, 'all' AS scope, CAST(NULL AS BIGINT) AS case_id FROM b_users WHE
 UNION ALL SELECT user_id, 'case', case_id FROM (
   SELECT lead_user_id AS user_id, case_id FROM b_cases UNION SELECT user_id, case_id FROM b_members) t
 WHERE user_id IN (SELECT user_id FROM b_users WHERE role NOT IN ('admin', 'auditor'))"""
-SQL["visible_cases"] = GRANTS
+SQL["visible_cases"] = f"SELECT user_id, scope, coalesce(CAST(case_id AS VARCHAR), '*') AS case_id FROM ({GRANTS}) g"
 SQL["edit_rights"] = f"""
 SELECT case_id, user_id, sees, sees AND may_edit AND status <> 'archived' AS can_edit,
        sees AND commands AND status = 'archived' AS can_reopen, coalesce({GATE}, 'ok') AS verdict

@@ -28,6 +28,11 @@ class Screening:
                 "score double, severity string")
         self.payloads, self.lines = payloads, lines
 
+    @cached_property
+    def wide(self) -> DataFrame:
+        """Documents with a column per field: read by checks, rules and cross-checks, so written once."""
+        return cut(validation.by_document(self.docs, self.fields))
+
     @cached_property
     def clustered(self) -> DataFrame:
         return agreement.clusters(agreement.field_values(self.fields))
@@ -41,9 +46,9 @@ class Screening:
         """Rows of code and zone cross-checks, with the value the code held."""
         parts = []
         if self.payloads is not None:
-            parts.append(validation.qr_compare(self.payloads, self.docs, self.fields))
+            parts.append(validation.qr_compare(self.payloads, self.wide))
         if self.zones is not None:
-            parts.append(validation.mrz_compare(self.zones, self.docs, self.fields))
+            parts.append(validation.mrz_compare(self.zones, self.wide))
         if not parts:
             return None
         rows = parts[0]
@@ -53,7 +58,7 @@ class Screening:
 
     @cached_property
     def validations(self) -> DataFrame:
-        rows = validation.validate_documents(self.docs, self.fields, self.as_of).select(*_CHECKS)
+        rows = validation.validate_documents(self.wide, self.as_of).select(*_CHECKS)
         if self.coded_checks is not None:
             rows = rows.unionByName(self.coded_checks.select(*_CHECKS))
         if self.zones is not None:
@@ -66,9 +71,8 @@ class Screening:
     @cached_property
     def rule_results(self) -> DataFrame:
         parts = [
-            rules.rule_pan(self.docs, self.fields), rules.rule_age(self.docs, self.fields),
-            rules.rule_dates(self.docs, rules.date_issues(self.docs, self.fields, self.as_of)),
-            rules.rule_parent(self.docs, self.fields)]
+            rules.rule_pan(self.wide), rules.rule_age(self.wide),
+            rules.rule_dates(self.wide, rules.date_issues(self.wide, self.as_of)), rules.rule_parent(self.wide)]
         rows = parts[0]
         for more in parts[1:]:
             rows = rows.unionByName(more)
@@ -78,13 +82,22 @@ class Screening:
     def findings(self) -> DataFrame:
         return agreement.consistency(self.clustered).unionByName(rules.rule_findings(self.rule_results))
 
+    @cached_property
+    def findings_table(self) -> DataFrame:
+        """Findings written out, for readers that pass over them more than once."""
+        return cut(self.findings)
+
+    @cached_property
+    def validations_table(self) -> DataFrame:
+        return cut(self.validations)
+
     @cached_property
     def statuses(self) -> DataFrame:
-        return validation.document_status(self.docs, self.validations, self.fields)
+        return validation.document_status(self.wide, self.validations)
 
     @cached_property
     def evidence(self) -> DataFrame:
-        return risk.case_evidence(self.cases, self.docs, self.findings, self.forensics, self.validations, self.fields)
+        return risk.case_evidence(self.cases, self.docs, self.findings, self.forensics, self.validations, self.wide)
 
     @cached_property
     def ledger(self) -> DataFrame:

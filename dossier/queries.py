@@ -137,7 +137,8 @@ def _someone(every: int) -> Column:
 
 @query
 def visible_cases(b: Bindings) -> DataFrame:
-    return access.grants(b.cases, b.members, b.users)
+    return access.grants(b.cases, b.members, b.users).withColumn(
+        "case_id", F.coalesce(F.col("case_id").cast("string"), F.lit("*")))
 
 
 @query
@@ -386,7 +387,7 @@ def document_type_mix(b: Bindings) -> DataFrame:
 @query
 def signal_rates(b: Bindings) -> DataFrame:
     s = screened(b, lines=True)
-    return analytics.signal_rates(s.findings, b.forensics, s.validations, b.cases)
+    return analytics.signal_rates(s.findings_table, b.forensics, s.validations_table, b.cases)
 
 
 @query
@@ -410,9 +411,9 @@ def stage_rollup(b: Bindings) -> DataFrame:
 @query
 def insights(b: Bindings) -> DataFrame:
     s = screened(b, coded=False)
-    figures = analytics.kpis(b.cases, b.docs, s.findings, b.stages)
-    return analytics.insights(figures, analytics.discrepancy_ranking(s.findings), analytics.signal_rates(
-        s.findings, b.forensics, s.validations, b.cases))
+    figures = analytics.kpis(b.cases, b.docs, s.findings_table, b.stages)
+    return analytics.insights(figures, analytics.discrepancy_ranking(s.findings_table), analytics.signal_rates(
+        s.findings_table, b.forensics, s.validations_table, b.cases))
 
 
 @query
@@ -530,7 +531,7 @@ def name_similarity(b: Bindings) -> DataFrame:
 
 @query
 def validation_checks(b: Bindings) -> DataFrame:
-    return validation.validate_documents(b.docs, b.fields, as_of())
+    return validation.validate_documents(validation.by_document(b.docs, b.fields), as_of())
 
 
 @query
@@ -559,35 +560,36 @@ def text_status(b: Bindings) -> DataFrame:
                            F.when(F.col("quality") == 0, "fail").otherwise("pass").alias("status")).unionByName(
         labels.filter(F.col("toxic") == 1).select(F.col("doc_id").alias("document_id"),
                                                   F.lit("warning").alias("status")))
-    fields = docs.filter(F.col("document_type") != "de").select("document_id")
-    return validation.document_status(docs, checks, fields).select("document_id", "passed", "failed", "warned",
+    wide = docs.withColumn("n_fields", F.when(F.col("document_type") != "de", 1).otherwise(0))
+    return validation.document_status(wide, checks).select("document_id", "passed", "failed", "warned",
                                                                    "status")
 
 
 @query
 def rule_age(b: Bindings) -> DataFrame:
-    return rules.rule_age(b.docs, b.fields)
+    return rules.rule_age(validation.by_document(b.docs, b.fields))
 
 
 @query
 def rule_dates(b: Bindings) -> DataFrame:
-    return rules.rule_dates(b.docs, rules.date_issues(b.docs, b.fields, as_of()))
+    wide = validation.by_document(b.docs, b.fields)
+    return rules.rule_dates(wide, rules.date_issues(wide, as_of()))
 
 
 @query
 def date_issues(b: Bindings) -> DataFrame:
-    return rules.date_issues(b.docs, b.fields, as_of()).select("document_id", "issue_no", "issue")
+    return rules.date_issues(validation.by_document(b.docs, b.fields), as_of()).select("document_id", "issue_no", "issue")
 
 
 @query
 def rule_pan(b: Bindings) -> DataFrame:
-    return rules.rule_pan(b.docs, b.fields)
+    return rules.rule_pan(validation.by_document(b.docs, b.fields))
 
 
 @query
 def rule_parent(b: Bindings) -> DataFrame:
     """The rule for parent names, run over the printed full names."""
-    return rules.rule_parent(b.docs, b.fields, "full_name")
+    return rules.rule_parent(validation.by_document(b.docs, b.fields), "full_name")
 
 
 @query
@@ -609,12 +611,12 @@ def mrz_parse(b: Bindings) -> DataFrame:
 @query
 def mrz_compare(b: Bindings) -> DataFrame:
     zones = cut(validation.mrz_parse(b.lines, F.lit(EVENTS_AS_OF).cast("date")))
-    return validation.mrz_compare(zones, b.docs, b.fields).select("document_id", "check_type", "status", "message")
+    return validation.mrz_compare(zones, validation.by_document(b.docs, b.fields)).select("document_id", "check_type", "status", "message")
 
 
 @query
 def qr_compare(b: Bindings) -> DataFrame:
-    return validation.qr_compare(b.payloads, b.docs, b.fields).select("document_id", "check_type", "status", "message")
+    return validation.qr_compare(b.payloads, validation.by_document(b.docs, b.fields)).select("document_id", "check_type", "status", "message")
 
 
 @query
@@ -824,7 +826,7 @@ def report_modules(b: Bindings) -> DataFrame:
 @query
 def key_findings(b: Bindings) -> DataFrame:
     s = screened(b)
-    return report.key_findings(s.findings, b.forensics, s.validations)
+    return report.key_findings(s.findings_table, b.forensics, s.validations_table)
 
 
 @query
@@ -836,14 +838,14 @@ def report_fields(b: Bindings) -> DataFrame:
 @query
 def discrepancy_union(b: Bindings) -> DataFrame:
     s = screened(b)
-    return notices.discrepancies(s.findings, s.validations, b.forensics, b.docs).select(
+    return notices.discrepancies(s.findings_table, s.validations_table, b.forensics, b.docs).select(
         "case_id", "source", "field_name", "label", "severity", "explanation")
 
 
 @query
 def outbox(b: Bindings) -> DataFrame:
     s = screened(b)
-    found = notices.discrepancies(s.findings, s.validations, b.forensics, b.docs)
+    found = notices.discrepancies(s.findings_table, s.validations_table, b.forensics, b.docs)
     key = F.col("case_id")
     contacts = b.cases.select(
         "case_id", F.when(key % 3 != 0, F.concat(F.lit("c"), key.cast("string"), F.lit("@example.org")))
@@ -855,7 +857,7 @@ def outbox(b: Bindings) -> DataFrame:
 @query
 def briefing(b: Bindings) -> DataFrame:
     s = screened(b)
-    return report.briefing(b.cases, b.docs, s.findings, b.forensics, s.validations, report.people(b.fields)).select(
+    return report.briefing(b.cases, b.docs, s.findings_table, b.forensics, s.validations_table, report.people(b.fields)).select(
         "case_id", "spoken_text", "has_warnings")
 
 
@@ -996,7 +998,7 @@ def stream_notices(b: Bindings) -> DataFrame:
     place = f"{shared_dir(b.spark)}/notices-{uuid.uuid4().hex}"
     found = cut(notices.discrepancies(
         agreement.consistency(agreement.clusters(agreement.field_values(b.fields))),
-        validation.validate_documents(b.docs, b.fields, as_of()), b.forensics, b.docs))
+        validation.validate_documents(validation.by_document(b.docs, b.fields), as_of()), b.forensics, b.docs))
     people = cut(report.people(b.fields))
     key = F.col("case_id")
     done = _stream(b, "orders").select(

@@ -7,6 +7,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -21,7 +22,7 @@ def rows_of(frame):
     for row in frame.itertuples(index=False, name=None):
         cells = []
         for v in row:
-            if v is None or v != v:
+            if v is None or pd.isna(v):
                 cells.append("~")
             elif isinstance(v, bool) or type(v).__name__ == "bool_":
                 cells.append(str(bool(v)))
