@@ -7,6 +7,7 @@ from dossier.functions.text import _c, squeeze
 
 _DAY = r"(3[01]|[12]\d|0[1-9]|[1-9])"
 _MONTH = r"(1[0-2]|0[1-9]|[1-9])"
+_ISO = r"^\d{4}-\d{2}-\d{2}$"
 _DAY_FIRST = rf"^{_DAY}([/.-]?){_MONTH}\2(\d{{4}})$"
 _YEAR_FIRST = rf"^(\d{{4}})-{_MONTH}-{_DAY}$"
 _WORDED = rf"(?i)^{_DAY} ([a-z]+) (\d{{4}})$"
@@ -19,15 +20,17 @@ def _iso(year: Column, month: Column, day: Column) -> Column:
 
 
 def parse_date(col: Column | str) -> Column:
-    """Day-first, ISO or worded date; anything else is null."""
+    """Day-first, ISO or worded date; anything else is null. Plain ISO text takes the short way."""
+    col = _c(col)
     text = F.regexp_replace(squeeze(col), "^[:.;,]+|[:.;,]+$", "")
     word = F.lower(F.regexp_extract(text, _WORDED, 2))
     number = F.lit(None).cast("string")
     for position, name in reversed(list(enumerate(_MONTHS, 1))):
         number = F.when(word.isin(name, name[:3]), F.lit(str(position))).otherwise(number)
     return (
-        F.when(text.rlike(_YEAR_FIRST), _iso(*(F.regexp_extract(text, _YEAR_FIRST, g) for g in (1, 2, 3))))
-        .when(text.rlike(_DAY_FIRST), _iso(*(F.regexp_extract(text, _DAY_FIRST, g) for g in (4, 3, 1))))
+        F.when(col.rlike(_ISO), col.try_cast("date"))
+        .when(text.rlike(_DAY_FIRST), F.regexp_replace(text, _DAY_FIRST, "$4-$3-$1").try_cast("date"))
+        .when(text.rlike(_YEAR_FIRST), text.try_cast("date"))
         .when(text.rlike(_WORDED), _iso(F.regexp_extract(text, _WORDED, 3), number,
                                         F.regexp_extract(text, _WORDED, 1)))
     )
@@ -41,7 +44,7 @@ def date_text(col: Column | str) -> Column:
 def iso_date(col: Column | str) -> Column:
     """An ISO date and nothing else."""
     col = _c(col)
-    return F.when(col.rlike(r"^\d{4}-\d{2}-\d{2}$"), col.try_cast("date"))
+    return F.when(col.rlike(_ISO), col.try_cast("date"))
 
 
 def age_at(born: Column, on: Column) -> Column:

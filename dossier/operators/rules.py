@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from dossier import policy
-from dossier.functions.dates import age_at, parse_date
+from dossier.functions.dates import age_at
 from dossier.functions.text import name_tokens, name_tokens_agree, normalize_name, ratio, string_similarity, title_code
 from dossier.session import cut
 
@@ -24,12 +24,11 @@ def _row(df: DataFrame, rule: str, status: Column, severity: Column, text: Colum
 def rule_age(wide: DataFrame, least_age: int = 18) -> DataFrame:
     """Licences and voter cards issued before the age of 18, by the first birth date of the case."""
     wide = wide.select(
-        "case_id", "document_id", "file_name", "doc_ord", _kind().alias("kind"), "date_of_birth",
-        parse_date("issue_date").alias("issued"))
+        "case_id", "document_id", "file_name", "doc_ord", _kind().alias("kind"), "born", "date_of_birth", "issued")
     births = wide.groupBy("case_id").agg(F.min_by(
-        "date_of_birth", F.when(F.coalesce("date_of_birth", F.lit("")) != "", F.struct("doc_ord", "document_id")))
-        .alias("given")).withColumn("born", parse_date("given"))
-    bound = wide.filter(F.col("kind").isin(*policy.AGE_BOUND_TYPES) & F.col("issued").isNotNull())
+        "born", F.when(F.coalesce("date_of_birth", F.lit("")) != "", F.struct("doc_ord", "document_id")))
+        .alias("born"))
+    bound = wide.filter(F.col("kind").isin(*policy.AGE_BOUND_TYPES) & F.col("issued").isNotNull()).drop("born")
     early = bound.join(births.filter(F.col("born").isNotNull()), "case_id").withColumn(
         "age", age_at(F.col("born"), F.col("issued"))).filter(F.col("age") < least_age).groupBy("case_id").agg(
         F.min(F.struct("doc_ord", "document_id", "age", "file_name", "kind")).alias("v"))
@@ -49,9 +48,6 @@ def rule_age(wide: DataFrame, least_age: int = 18) -> DataFrame:
 
 def date_issues(wide: DataFrame, as_of: Column) -> DataFrame:
     """One row per date out of order: births or issues in the future, expiry not after issue."""
-    wide = wide.select(
-        "case_id", "document_id", "file_name", "doc_ord", parse_date("date_of_birth").alias("born"),
-        parse_date("issue_date").alias("issued"), parse_date("expiry_date").alias("ends"))
 
     def issue(when: Column, number: int, *parts: Column | str) -> Column:
         text = F.concat("file_name", F.lit(": "), *[F.lit(p) if isinstance(p, str) else p.cast("string")

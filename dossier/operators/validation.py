@@ -6,10 +6,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dossier import policy
-from dossier.functions.dates import age_at, date_text, iso_date, short_date
+from dossier.functions.dates import age_at, iso_date, parse_date, short_date
 from dossier.functions.shapes import check_digit
 from dossier.functions.text import clean_number, names_match, present
 from dossier.operators.listing import best_candidate, ordinals
+from dossier.session import settle
 
 
 WIDE_FIELDS = tuple(f for f in policy.FIELD_LABELS if f != "facial_photo") + ("surname_part",)
@@ -19,7 +20,8 @@ def by_document(docs: DataFrame, fields: DataFrame, names: Sequence[str] = WIDE_
     """One row per document with a column per field and the number of field rows.
 
     Of repeated rows the last (``field_id``) counts. The checks, rules and
-    cross-checks all read this table, so the long form is turned once.
+    cross-checks all read this table, so the long form is turned and its dates
+    are parsed (``born``, ``issued``, ``ends``) once.
     """
     def pick(name: str) -> Column:
         own = F.col("field_name") == name
@@ -29,8 +31,10 @@ def by_document(docs: DataFrame, fields: DataFrame, names: Sequence[str] = WIDE_
 
     turned = fields.groupBy("document_id").agg(
         F.count("*").alias("n_fields"), *[pick(n).alias(n) for n in names])
-    return docs.select("case_id", "document_id", "document_type", "file_name", "doc_ord").join(
+    joined = docs.select("case_id", "document_id", "document_type", "file_name", "doc_ord").join(
         turned, "document_id", "left").fillna(0, ["n_fields"])
+    return joined.select("*", *[parse_date(f).alias(d) for f, d in (
+        ("date_of_birth", "born"), ("issue_date", "issued"), ("expiry_date", "ends"))])
 
 
 def _check(kind: str, status: Column | str, message: Column) -> Column:
@@ -222,13 +226,14 @@ def mrz_parse(lines: DataFrame, as_of: Column) -> DataFrame:
     def repaired(col: Column) -> Column:
         return F.translate(col, "OISBZ", "01582")
 
-    read = pairs.select(
-        "document_id", "first_no", "ordinal", "fit", _zone(whole("zone1"), whole("zone"), as_of).alias("raw"),
-        _zone(repaired(whole("zone1")), repaired(whole("zone")), as_of).alias("fixed"))
-    better = _passed(F.col("fixed")) > _passed(F.col("raw"))
-    chosen = read.select("document_id", "first_no", "ordinal", "fit",
-                         F.when(better, F.col("fixed")).otherwise(F.col("raw")).alias("zone"))
-    scored = chosen.withColumn("passed", _passed(F.col("zone"))).filter(F.col("passed") > 0).withColumn(
+    raw = _zone(whole("zone1"), whole("zone"), as_of)
+    fixed = _zone(repaired(whole("zone1")), repaired(whole("zone")), as_of)
+    read = settle(pairs.select("document_id", "first_no", "ordinal", "fit", "zone1", "zone"), "read",
+                  F.struct(raw.alias("raw"), fixed.alias("fixed")))
+    better = _passed(F.col("read.fixed")) > _passed(F.col("read.raw"))
+    chosen = settle(read, "best", F.when(better, F.col("read.fixed")).otherwise(F.col("read.raw"))).select(
+        "document_id", "first_no", "ordinal", "fit", F.col("best").alias("zone"))
+    scored = settle(chosen, "passed", _passed(F.col("zone"))).filter(F.col("passed") > 0).withColumn(
         "score", F.col("fit") * 0.5 + F.col("passed") / 5 * 0.5).filter(F.col("score") > 0.55)
     best = best_candidate(scored, ["document_id"], "score", F.struct("first_no", "ordinal"), "passed", "zone")
     return best.select("document_id", "score", "passed", "zone.*")
@@ -275,7 +280,7 @@ def mrz_compare(zones: DataFrame, wide: DataFrame) -> DataFrame:
 def parse_payload(df: DataFrame, col: str = "payload") -> DataFrame:
     """Payloads that are JSON objects, as a map; all others are dropped."""
     parsed = F.from_json(F.col(col), "map<string,string>")
-    return df.filter(F.col(col).rlike(r"^\s*\{")).withColumn("object", parsed).filter(F.col("object").isNotNull())
+    return settle(df.filter(F.col(col).rlike(r"^\s*\{")), "object", parsed).filter(F.col("object").isNotNull())
 
 
 def qr_compare(payloads: DataFrame, wide: DataFrame) -> DataFrame:
@@ -288,15 +293,14 @@ def qr_compare(payloads: DataFrame, wide: DataFrame) -> DataFrame:
         present(F.trim(F.coalesce(present(F.try_element_at(key, F.lit("dob"))),
                                   F.try_element_at(key, F.lit("date_of_birth"))))).alias("qr_dob"))
     printed = wide.select(
-        "case_id", "document_id", "doc_ord", present(clean_number("document_number")).alias("number"),
+        "case_id", "document_id", "doc_ord", F.col("born"), present(clean_number("document_number")).alias("number"),
         present("full_name").alias("name"), present("date_of_birth").alias("dob"))
-    born = F.coalesce(date_text("qr_dob"), F.col("qr_dob"))
+    agrees = parse_date("qr_dob") == F.col("born")
     tallied = read.join(printed, "document_id").groupBy("document_id").agg(
         F.first("case_id").alias("case_id"), F.first("doc_ord").alias("doc_ord"),
         F.bool_or(F.col("qr_number") == F.col("number")).alias("number_ok"),
         F.bool_or(names_match("name", "qr_name")).alias("name_ok"),
-        F.bool_or(F.coalesce(born == date_text("dob"), F.lit(False)) & F.col("qr_dob").isNotNull()
-                  & F.col("dob").isNotNull()).alias("dob_ok"),
+        F.bool_or(agrees).alias("dob_ok"),
         F.count("qr_number").alias("n_number"), F.count("qr_name").alias("n_name"),
         F.count("qr_dob").alias("n_dob"),
         F.min_by("qr_number", F.when(F.col("qr_number").isNotNull(), F.col("payload"))).alias("qr_number"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -46,6 +46,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def settle(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that filters and later columns reuse instead of computing it again.
+
+    A predicate on a plain computed column is pushed below it and evaluates the
+    whole expression once more; it is not pushed below a generator.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 

@@ -69,6 +69,10 @@ class Bindings:
             F.col("l_orderkey").alias("case_id"), F.col("l_suppkey").alias("user_id")).agg(
             F.min(access).alias("access"))
 
+    @cached_property
+    def lines_sold(self) -> DataFrame:
+        return tables.read_spread(self.spark, self.folder, "lineitem")
+
     @cached_property
     def docs(self) -> DataFrame:
         key, line = F.col("l_orderkey"), F.col("l_linenumber")
@@ -76,7 +80,7 @@ class Bindings:
         kind = F.element_at(F.array(*[F.lit(t) for t in TYPES]), (F.col("l_partkey") % 6 + 1).cast("int"))
         parts = self.raw("part").agg(F.count("*")).scalar()
         cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-        return self.raw("lineitem").select(
+        return self.lines_sold.select(
             key.alias("case_id"),
             F.concat_ws("-", *[c.cast("string") for c in
                                (key, line, F.col("l_partkey"), F.col("l_suppkey"), cents)]).alias("document_id"),

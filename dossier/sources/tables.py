@@ -1,16 +1,30 @@
 """Table scans."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
+SMALL_BYTES = 256 * 1024 * 1024
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def read_spread(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A scan whose rows reach every core.
+
+    A table of a few row groups would keep one task busy with all that follows,
+    so small ones are dealt out; larger tables split by themselves and are not moved.
+    """
+    df = read(spark, folder, name)
+    sizes = spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/{name}.parquet").select(F.sum("length"))
+    if (sizes.first()[0] or 0) < SMALL_BYTES:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
+
+
 def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """All tables of a folder; nothing is read before a query asks for it."""
     return {name: read(spark, folder, name) for name in TABLES}
