@@ -24,9 +24,8 @@ def parse_date(col: Column | str) -> Column:
     col = _c(col)
     text = F.regexp_replace(squeeze(col), "^[:.;,]+|[:.;,]+$", "")
     word = F.lower(F.regexp_extract(text, _WORDED, 2))
-    number = F.lit(None).cast("string")
-    for position, name in reversed(list(enumerate(_MONTHS, 1))):
-        number = F.when(word.isin(name, name[:3]), F.lit(str(position))).otherwise(number)
+    known = {form: str(n) for n, name in enumerate(_MONTHS, 1) for form in (name, name[:3])}
+    number = F.try_element_at(F.create_map(*[F.lit(part) for item in known.items() for part in item]), word)
     return (
         F.when(col.rlike(_ISO), col.try_cast("date"))
         .when(text.rlike(_DAY_FIRST), F.regexp_replace(text, _DAY_FIRST, "$4-$3-$1").try_cast("date"))

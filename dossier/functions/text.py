@@ -14,9 +14,9 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def _fold_rules() -> tuple[str, str, list[tuple[str, str]]]:
+def _fold_rules() -> tuple[str, str, dict[str, str]]:
     """Characters whose compatibility form has ASCII in it, by rule from Unicode."""
-    source, target, longer = [], [], []
+    source, target, longer = [], [], {}
     for code in range(0xA0, 0x10000):
         if 0xD800 <= code < 0xE000:
             continue
@@ -26,7 +26,7 @@ def _fold_rules() -> tuple[str, str, list[tuple[str, str]]]:
             source.append(char)
             target.append(plain)
         elif plain and (code < 0x250 or 0xFB00 <= code <= 0xFB06):
-            longer.append((char, plain))
+            longer[char] = plain
     return "".join(source), "".join(target), longer
 
 
@@ -36,10 +36,11 @@ _FOLD_FROM, _FOLD_TO, _FOLD_LONGER = _fold_rules()
 def fold_ascii(col: Column | str) -> Column:
     """Accents folded to ASCII, what does not fold dropped; ASCII text passes untouched."""
     col = _c(col)
-    folded = F.translate(col, _FOLD_FROM, _FOLD_TO)
-    for char, plain in _FOLD_LONGER:
-        folded = F.replace(folded, F.lit(char), F.lit(plain))
-    folded = F.regexp_replace(folded, r"[^\x00-\x7F]", "")
+    pairs = F.create_map(*[F.lit(part) for item in _FOLD_LONGER.items() for part in item])
+    spelled = F.array_join(F.transform(
+        F.split(col, ""), lambda ch: F.coalesce(F.try_element_at(pairs, ch), ch)), "")
+    whole = F.when(col.rlike("[" + "".join(_FOLD_LONGER) + "]"), spelled).otherwise(col)
+    folded = F.regexp_replace(F.translate(whole, _FOLD_FROM, _FOLD_TO), r"[^\x00-\x7F]", "")
     return F.when(col.rlike(r"[^\x00-\x7F]"), folded).otherwise(col)
 
 

@@ -38,11 +38,19 @@ def canonical(field: Column, value: Column) -> Column:
         .otherwise(F.upper(F.trim(value))))
 
 
+def _tokens(form: Column) -> Column:
+    return F.filter(F.split(form, " "), lambda t: t != "")
+
+
+def tokens_agree(field: Column, a: Column, b: Column) -> Column:
+    """Agreement of two token arrays of a name or address field."""
+    return F.when(field == "address", address_tokens_agree(a, b)).otherwise(name_tokens_agree(a, b))
+
+
 def forms_agree(field: Column, a: Column, b: Column) -> Column:
-    """Agreement of two canonical forms of one field."""
-    ta, tb = (F.filter(F.split(x, " "), lambda t: t != "") for x in (a, b))
-    return (F.when(field.isin(*policy.NAME_FIELDS), name_tokens_agree(ta, tb))
-            .when(field == "address", address_tokens_agree(ta, tb)).otherwise(a == b))
+    """Agreement of two canonical forms of one field; equal forms of tokens agree without a look at them."""
+    return F.when((a == b) & (a != ""), True).when(
+        is_fuzzy(field), tokens_agree(field, _tokens(a), _tokens(b))).otherwise(a == b)
 
 
 def values_agree(field: Column, a: Column, b: Column) -> Column:
@@ -74,19 +82,20 @@ def field_values(fields: DataFrame) -> DataFrame:
 def _fold(items: Column, field: Column) -> Column:
     """Leaders of an ordered array of values: each one that agrees with no earlier leader."""
     def step(leaders: Column, item: Column) -> Column:
-        known = F.exists(leaders, lambda l: forms_agree(field, l["form"], item["form"]))
+        known = F.exists(leaders, lambda l: tokens_agree(field, l["tokens"], item["tokens"]))
         return F.when(known, leaders).otherwise(F.concat(leaders, F.array(item)))
 
     return F.aggregate(items, F.slice(items, 1, 0), step)
 
 
-def _first_agreeing(leaders: Column, field: Column, form: Column) -> Column:
-    return F.try_element_at(F.filter(leaders, lambda l: forms_agree(field, l["form"], form)), F.lit(1))
+def _first_agreeing(leaders: Column, field: Column, tokens: Column) -> Column:
+    found = F.try_element_at(F.filter(leaders, lambda l: tokens_agree(field, l["tokens"], tokens)), F.lit(1))
+    return F.when(found.isNotNull(), F.struct(found["first"].alias("first"), found["form"].alias("form")))
 
 
 def _ordered(values: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One ordered array per group; callers bound the size of the groups."""
-    item = F.struct("first", "form", "n")
+    item = F.struct("first", "form", "n", _tokens(F.col("form")).alias("tokens"))
     return values.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("items"))
 
 
@@ -104,7 +113,7 @@ def _rounds(values: DataFrame, keys: Sequence[str]) -> list[DataFrame]:
         front = top_n_within(open_values, keys, [F.col("first")], ROUND_LEADERS).drop("rank")
         leaders = _ordered(front, keys).select(*keys, _fold(F.col("items"), field).alias("leaders"))
         judged = cut(open_values.join(leaders, list(keys)).select(
-            *values.columns, _first_agreeing(F.col("leaders"), field, F.col("form")).alias("leader")))
+            *values.columns, _first_agreeing(F.col("leaders"), field, _tokens(F.col("form"))).alias("leader")))
         settled.append(judged.filter(F.col("leader").isNotNull()))
         open_values = judged.filter(F.col("leader").isNull()).drop("leader")
     return settled
@@ -119,7 +128,7 @@ def clusters(values: DataFrame, keys: Sequence[str] = ("case_id", "field_name",
     keys = list(keys)
     kept = cut(values)
     fuzzy, empty = is_fuzzy(F.col("field_name")), F.col("form") == ""
-    plain_leader = F.struct("first", "form", "n")
+    plain_leader = F.struct("first", "form")
     plain = kept.filter(~fuzzy).withColumn("leader", plain_leader)
     bare = kept.filter(fuzzy & empty).withColumn("leader", F.when(F.lit(False), plain_leader))
     open_values = kept.filter(fuzzy & ~empty)
@@ -130,7 +139,7 @@ def clusters(values: DataFrame, keys: Sequence[str] = ("case_id", "field_name",
     folded = _ordered(small, keys).withColumn("leaders", _fold(F.col("items"), field)).select(
         *keys, "leaders", F.explode("items").alias("item")).select(
         *keys, F.col("item.form").alias("form"), F.col("item.n").alias("n"), F.col("item.first").alias("first"),
-        _first_agreeing(F.col("leaders"), field, F.col("item.form")).alias("leader"))
+        _first_agreeing(F.col("leaders"), field, F.col("item.tokens")).alias("leader"))
     out = plain.unionByName(bare).unionByName(folded.select(*plain.columns))
     for part in large:
         out = out.unionByName(part.select(*plain.columns))
@@ -199,16 +208,16 @@ def support(values: DataFrame) -> DataFrame:
     bare = kept.filter(fuzzy & empty).withColumn("agreeing", F.lit(0).cast("long"))
     open_values = kept.filter(fuzzy & ~empty)
 
-    def total(items: Column, form: Column) -> Column:
+    def total(items: Column, tokens: Column) -> Column:
         return F.aggregate(items, F.lit(0).cast("long"), lambda s, i: s + F.when(
-            forms_agree(field, i["form"], form), i["n"]).otherwise(F.lit(0).cast("long")))
+            tokens_agree(field, i["tokens"], tokens), i["n"]).otherwise(F.lit(0).cast("long")))
 
     sizes = open_values.groupBy(*keys).agg(F.count("*").alias("_v")).filter(F.col("_v") > FOLD_VALUES)
     has_large = not sizes.isEmpty()
     small = open_values.join(sizes, keys, "left_anti") if has_large else open_values
     counted = _ordered(small, keys).select(*keys, "items", F.explode("items").alias("item")).select(
         *keys, F.col("item.form").alias("form"), F.col("item.n").alias("n"), F.col("item.first").alias("first"),
-        total(F.col("items"), F.col("item.form")).alias("agreeing"))
+        total(F.col("items"), F.col("item.tokens")).alias("agreeing"))
     out = plain.unionByName(bare.select(*plain.columns)).unionByName(counted.select(*plain.columns))
     if has_large:
         # tiles of bounded arrays meet each value of the group; partial counts are then added up
@@ -216,7 +225,7 @@ def support(values: DataFrame) -> DataFrame:
         tiled = open_values.join(sizes, keys).withColumn("tile", spread)
         tiles = _ordered(tiled, [*keys, "tile"]).select(*keys, "items")
         partial = open_values.join(sizes.drop("_v"), keys, "left_semi").join(tiles, keys).select(
-            *kept.columns, total(F.col("items"), F.col("form")).alias("part"))
+            *kept.columns, total(F.col("items"), _tokens(F.col("form"))).alias("part"))
         summed = partial.groupBy(*keys, "form").agg(
             F.first("n").alias("n"), F.first("first").alias("first"), F.sum("part").alias("agreeing"))
         out = out.unionByName(summed.select(*plain.columns))

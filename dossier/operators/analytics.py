@@ -3,10 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dossier import policy
 from dossier.operators.listing import label_of, share
+from dossier.session import cut, explode_present
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -223,7 +224,7 @@ def insights(key_figures: DataFrame, ranking: DataFrame, signals: DataFrame) ->
                                      importance.alias("importance")))
 
     good = F.col("pass_rate") >= 80
-    rows = F.array(
+    rows = [
         row(F.lit(True), F.when(good, "quality_high").otherwise("review_alert"),
             F.when(good, "quality").otherwise("risk_alert"),
             F.when(good, F.concat(F.col("pass_rate").cast("string"), F.lit("% Pass Rate")))
@@ -234,8 +235,8 @@ def insights(key_figures: DataFrame, ranking: DataFrame, signals: DataFrame) ->
         row(face > 0, F.lit("biometric_integrity"), F.when(face > 5, "risk_alert").otherwise("quality"),
             F.concat(face.cast("string"), F.lit("% mismatch rate")), F.when(face > 5, "high").otherwise("info")),
         row(F.lit(True), F.lit("latency_perf"), F.lit("performance"),
-            F.concat(seconds.cast("string"), F.lit("s / case")), F.lit("info")))
-    return key_figures.select(F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("i")).select("i.*")
+            F.concat(seconds.cast("string"), F.lit("s / case")), F.lit("info"))]
+    return explode_present(key_figures, [], rows)
 
 
 def number_cases(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -245,11 +246,9 @@ def number_cases(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     the partitions, one small row each, are added afterwards.
     """
     highest = existing.agg(F.coalesce(F.max("case_number"), F.lit(policy.FIRST_CASE_NUMBER - 1))).scalar()
-    from dossier.session import cut
     placed = cut(incoming.repartitionByRange("created_at", "case_id").sortWithinPartitions("created_at", "case_id")
                  .withColumn("_slot", F.spark_partition_id())
                  .withColumn("_seq", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    from pyspark.sql import Window
     sizes = placed.groupBy("_slot").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

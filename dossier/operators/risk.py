@@ -3,9 +3,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dossier import policy
+from dossier.session import explode_present
 
 _FLAGS = ("forensic_high", "forensic_medium", "validation_fail", "expired", "mrz_fail", "mrz_pass", "reuse_hits")
 
@@ -115,8 +116,7 @@ def risk_ledger(evidence: DataFrame, weights: Mapping[str, tuple[int, int | None
 
     rows = [row(f, n, weights[f][1], weights[f][0], "increase") for f, n in applications.items()]
     rows += [row(f, (ok & ~gated).cast("long"), None, reductions[f], "decrease") for f, ok in holds.items()]
-    return evidence.select("case_id", F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("f")) \
-        .select("case_id", "f.*")
+    return explode_present(evidence, ["case_id"], rows)
 
 
 def capped_sum(df: DataFrame, keys: Sequence[str], weight: str, n: str, cap: str) -> DataFrame:
@@ -152,6 +152,5 @@ def risk_score(evidence: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def ledger_order(ledger: DataFrame) -> DataFrame:
     """Factors with their rank in the case; a case has at most one row per factor, so ranks are bounded."""
-    from pyspark.sql import Window
     order = Window.partitionBy("case_id").orderBy(F.col("score").desc(), "factor")
     return ledger.withColumn("position", F.row_number().over(order))

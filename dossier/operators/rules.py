@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from dossier import policy
 from dossier.functions.dates import age_at
 from dossier.functions.text import name_tokens, name_tokens_agree, normalize_name, ratio, string_similarity, title_code
-from dossier.session import cut
+from dossier.session import cut, explode_present
 
 
 def _kind() -> Column:
@@ -55,13 +55,11 @@ def date_issues(wide: DataFrame, as_of: Column) -> DataFrame:
         return F.when(when, F.struct(F.lit(number).alias("issue_no"), text.alias("issue")))
 
     born, issued, ends = F.col("born"), F.col("issued"), F.col("ends")
-    rows = F.array(
+    rows = [
         issue(born > as_of, 1, "Date of birth (", born, ") is in the future."),
         issue(issued > as_of, 2, "Issue date (", issued, ") is in the future."),
-        issue(ends <= issued, 3, "Expiration date (", ends, ") precedes or equals issue date (", issued, ")."))
-    return wide.select("case_id", "document_id", "doc_ord",
-                       F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("i")).select(
-        "case_id", "document_id", "doc_ord", "i.*")
+        issue(ends <= issued, 3, "Expiration date (", ends, ") precedes or equals issue date (", issued, ").")]
+    return explode_present(wide, ["case_id", "document_id", "doc_ord"], rows)
 
 
 def rule_dates(docs: DataFrame, issues: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from dossier.functions.dates import age_at, iso_date, parse_date, short_date
 from dossier.functions.shapes import check_digit
 from dossier.functions.text import clean_number, names_match, present
 from dossier.operators.listing import best_candidate, ordinals
-from dossier.session import settle
+from dossier.session import explode_present, settle
 
 
 WIDE_FIELDS = tuple(f for f in policy.FIELD_LABELS if f != "facial_photo") + ("surname_part",)
@@ -47,8 +47,7 @@ def _say(*parts: Column | str) -> Column:
 
 
 def _explode_checks(df: DataFrame, keys: Sequence[str], checks: Sequence[Column]) -> DataFrame:
-    rows = F.filter(F.array(*checks), lambda c: c.isNotNull())
-    return df.select(*keys, F.explode(rows).alias("c")).select(*keys, "c.*")
+    return explode_present(df, keys, checks)
 
 
 def lookup(col: Column, table: Mapping[str, object]) -> Column:
@@ -209,8 +208,9 @@ def mrz_parse(lines: DataFrame, as_of: Column) -> DataFrame:
     are repaired where that lets more digits pass.
     """
     compact = F.upper(F.regexp_replace("text", r"\s+", ""))
-    fillers = F.length(compact) - F.length(F.replace(compact, F.lit("<"), F.lit("")))
-    found = lines.select("document_id", "line_no", compact.alias("zone")).filter(
+    fillers = F.length("zone") - F.length(F.replace(F.col("zone"), F.lit("<"), F.lit("")))
+    marked = lines.filter(F.contains("text", F.lit("<")))
+    found = settle(marked.select("document_id", "line_no", "text"), "zone", compact).filter(
         (F.length("zone") >= 30) & (fillers >= 5) & F.col("zone").rlike("^[A-Z0-9<]+$"))
     candidates = ordinals(found, ["document_id"], "line_no").select("document_id", "ordinal", "zone")
     first = candidates.select(

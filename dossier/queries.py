@@ -450,7 +450,7 @@ def _asked(b: Bindings) -> DataFrame:
 
 @query
 def evidence_search(b: Bindings) -> DataFrame:
-    index = search.build_index(b.versions, KEY)
+    index = cut(search.build_index(b.versions, KEY))  # as the stored index of a deployment
     return search.all_terms(index, search.query_words(_asked(b), KEY))
 
 
@@ -459,7 +459,7 @@ def document_search(b: Bindings) -> DataFrame:
     """One user's search by file name or words; the newest hundred."""
     docs = b.versions.groupBy("document_id").agg(
         F.max("version_id").alias("created_on"), F.min("source").alias("title"), F.min("lang").alias("kind"))
-    index = search.build_index(b.versions, KEY)
+    index = cut(search.build_index(b.versions, KEY))
     return search.search_documents(docs, b.versions, index, "the with", KEY, kind="en", limit=100).select(
         "document_id", "created_on")
 
@@ -658,7 +658,7 @@ def classify_text(b: Bindings) -> DataFrame:
 
 @query
 def classify_documents(b: Bindings) -> DataFrame:
-    texts = b.raw("documents").select(F.col("doc_id").alias("document_id"), "text")
+    texts = b.texts.select(F.col("doc_id").alias("document_id"), "text")
     return extraction.classify(texts, uncertain="unknown")
 
 
@@ -686,7 +686,7 @@ def reuse_messages(b: Bindings) -> DataFrame:
 
 @query
 def near_reuse(b: Bindings) -> DataFrame:
-    docs = reuse.with_simhash(b.raw("documents").select(F.col("doc_id").alias("document_id"), "text"))
+    docs = reuse.with_simhash(b.texts.select(F.col("doc_id").alias("document_id"), "text"))
     return reuse.near_hash(docs.select("document_id", "near_hash")).select(
         "document_a", "document_b", "copies_a", "copies_b", F.col("distance").cast("int").alias("distance"))
 

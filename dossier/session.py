@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -55,6 +56,18 @@ def settle(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(value)))
 
 
+def explode_present(df: DataFrame, keep: Sequence[Column | str], items: Sequence[Column],
+                    part: str | None = None) -> DataFrame:
+    """One row per non-null struct of ``items``, its fields as columns after ``keep``.
+
+    Nulls are filtered after the generator: a filter on the array before it would
+    make Spark evaluate every item twice.
+    """
+    rows = df.select(*keep, F.explode(F.array(*items)).alias("_item"))
+    test = F.col("_item") if part is None else F.col(f"_item.{part}")
+    return rows.filter(test.isNotNull()).select(*[c for c in rows.columns if c != "_item"], "_item.*")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 

@@ -10,6 +10,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dossier.functions.shapes import check_digit
+from dossier.session import explode_present
 from dossier.sources import tables
 
 AS_OF = "1998-06-30"
@@ -73,6 +74,10 @@ class Bindings:
     def lines_sold(self) -> DataFrame:
         return tables.read_spread(self.spark, self.folder, "lineitem")
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        return tables.read_spread(self.spark, self.folder, "documents")
+
     @cached_property
     def docs(self) -> DataFrame:
         key, line = F.col("l_orderkey"), F.col("l_linenumber")
@@ -124,16 +129,13 @@ class Bindings:
         def entry(name: str, value: Column) -> Column:
             return F.struct(F.lit(name).alias("field_name"), value.alias("value"))
 
-        entries = F.array(
+        entries = [
             *[entry(n, F.col(n)) for n in ("full_name", "date_of_birth", "gender", "nationality",
                                            "document_number", "address")],
             entry("issue_date", F.col("issue_d").cast("string")),
-            entry("expiry_date", F.col("expiry_d").cast("string")))
-        return self.printed.select(
-            "case_id", "document_id", "document_type", "file_name", "doc_ord", "confidence",
-            F.explode(F.filter(entries, lambda e: e["value"].isNotNull())).alias("f")).select(
-            "case_id", "document_id", "document_type", "file_name", "doc_ord", "confidence",
-            "f.field_name", "f.value")
+            entry("expiry_date", F.col("expiry_d").cast("string"))]
+        return explode_present(self.printed, ["case_id", "document_id", "document_type", "file_name", "doc_ord",
+                                              "confidence"], entries, "value")
 
     @cached_property
     def payloads(self) -> DataFrame:
@@ -166,7 +168,7 @@ class Bindings:
         def line(number: int, text: Column, y: int) -> Column:
             return F.struct(F.lit(number).alias("line_no"), text.alias("text"), F.lit(y).alias("y"))
 
-        texts = F.array(
+        texts = [
             line(0, F.concat(F.lit("REPUBLIC REGISTRY ADDRESS "), F.upper("document_type")), 10),
             line(1, F.concat(F.lit("Full Name: "), F.col("full_name")), 150),
             line(2, F.concat(F.lit("Date of Birth "), F.date_format("dob_d", "dd/MM/yyyy")), 214),
@@ -176,12 +178,9 @@ class Bindings:
             line(6, F.lit("Valid Until"), 470),
             line(7, F.date_format("expiry_d", "dd.MM.yyyy"), 500),
             line(8, F.when(passport, zone1), 900),
-            line(9, F.when(passport, zone2), 960))
-        return self.printed.select(
-            "case_id", "document_id", "document_type", "confidence",
-            F.explode(F.filter(texts, lambda t: t["text"].isNotNull())).alias("t")).select(
-            "case_id", "document_id", "document_type", "confidence", "t.line_no", "t.text",
-            F.lit(40).alias("x"), "t.y", F.lit(600).alias("w"), F.lit(24).alias("h"))
+            line(9, F.when(passport, zone2), 960)]
+        return explode_present(self.printed, ["case_id", "document_id", "document_type", "confidence"], texts,
+                               "text").select("*", F.lit(40).alias("x"), F.lit(600).alias("w"), F.lit(24).alias("h"))
 
     @cached_property
     def forensics(self) -> DataFrame:
@@ -222,7 +221,7 @@ class Bindings:
     @cached_property
     def versions(self) -> DataFrame:
         """Text evidence: versions of a document share its source and language."""
-        return self.raw("documents").select(
+        return self.texts.select(
             F.col("doc_id").alias("version_id"),
             F.concat_ws("/", "source", "lang", (F.col("doc_id") % 97).cast("string")).alias("document_id"),
             F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
