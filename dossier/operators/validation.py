@@ -226,12 +226,13 @@ def mrz_parse(lines: DataFrame, as_of: Column) -> DataFrame:
     def repaired(col: Column) -> Column:
         return F.translate(col, "OISBZ", "01582")
 
-    raw = _zone(whole("zone1"), whole("zone"), as_of)
-    fixed = _zone(repaired(whole("zone1")), repaired(whole("zone")), as_of)
-    read = settle(pairs.select("document_id", "first_no", "ordinal", "fit", "zone1", "zone"), "read",
-                  F.struct(raw.alias("raw"), fixed.alias("fixed")))
-    better = _passed(F.col("read.fixed")) > _passed(F.col("read.raw"))
-    chosen = settle(read, "best", F.when(better, F.col("read.fixed")).otherwise(F.col("read.raw"))).select(
+    padded = pairs.select("document_id", "first_no", "ordinal", "fit", whole("zone1").alias("line1"),
+                          whole("zone").alias("line2"))
+    both = padded.withColumns({"fixed1": repaired(F.col("line1")), "fixed2": repaired(F.col("line2"))})
+    read = settle(settle(both, "raw", _zone(F.col("line1"), F.col("line2"), as_of)),
+                  "fixed", _zone(F.col("fixed1"), F.col("fixed2"), as_of))
+    better = _passed(F.col("fixed")) > _passed(F.col("raw"))
+    chosen = settle(read, "best", F.when(better, F.col("fixed")).otherwise(F.col("raw"))).select(
         "document_id", "first_no", "ordinal", "fit", F.col("best").alias("zone"))
     scored = settle(chosen, "passed", _passed(F.col("zone"))).filter(F.col("passed") > 0).withColumn(
         "score", F.col("fit") * 0.5 + F.col("passed") / 5 * 0.5).filter(F.col("score") > 0.55)

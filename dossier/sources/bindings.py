@@ -151,19 +151,21 @@ class Bindings:
     @cached_property
     def lines(self) -> DataFrame:
         """Recognised text lines of the documents, passports with a machine-readable zone."""
-        name = F.upper("p_name")
+        name, passport = F.upper("p_name"), F.col("document_type") == "passport"
+        parts = self.printed.withColumns({
+            "_number": F.rpad("document_number", 9, "<"), "_born": F.date_format("dob_d", "yyMMdd"),
+            "_ends": F.date_format("expiry_d", "yyMMdd"),
+            "_own": F.rpad(F.col("l_suppkey").cast("string"), 14, "<")})
+        wrong = F.when(F.col("l_tax") < 0.02, 1).otherwise(0)
+        digits = parts.withColumns({
+            "_head": F.when(passport, F.concat("_number", ((check_digit("_number").cast("int") + wrong) % 10)
+                                               .cast("string"))),
+            "_middle": F.when(passport, F.concat("_born", check_digit("_born"))),
+            "_tail": F.when(passport, F.concat("_ends", check_digit("_ends"), "_own", check_digit("_own")))})
+        whole = digits.withColumn("_all", F.concat("_head", "_middle", "_tail"))
         zone1 = F.rpad(F.concat(F.lit("P<IND"), F.substring_index(name, " ", -1), F.lit("<<"),
                                 F.substring_index(name, " ", 1)), 44, "<")
-        number = F.rpad("document_number", 9, "<")
-        born, ends = F.date_format("dob_d", "yyMMdd"), F.date_format("expiry_d", "yyMMdd")
-        own = F.rpad(F.col("l_suppkey").cast("string"), 14, "<")
-        digit = F.when(F.col("l_tax") < 0.02, (check_digit(number).cast("int") + 1) % 10) \
-            .otherwise(check_digit(number).cast("int")).cast("string")
-        head, middle = F.concat(number, digit), F.concat(born, check_digit(born))
-        tail = F.concat(ends, check_digit(ends), own, check_digit(own))
-        zone2 = F.concat(head, F.lit("IND"), middle, F.substring("gender", 1, 1), tail,
-                         check_digit(F.concat(head, middle, tail)))
-        passport = F.col("document_type") == "passport"
+        zone2 = F.concat("_head", F.lit("IND"), "_middle", F.substring("gender", 1, 1), "_tail", check_digit("_all"))
 
         def line(number: int, text: Column, y: int) -> Column:
             return F.struct(F.lit(number).alias("line_no"), text.alias("text"), F.lit(y).alias("y"))
@@ -179,7 +181,7 @@ class Bindings:
             line(7, F.date_format("expiry_d", "dd.MM.yyyy"), 500),
             line(8, F.when(passport, zone1), 900),
             line(9, F.when(passport, zone2), 960)]
-        return explode_present(self.printed, ["case_id", "document_id", "document_type", "confidence"], texts,
+        return explode_present(whole, ["case_id", "document_id", "document_type", "confidence"], texts,
                                "text").select("*", F.lit(40).alias("x"), F.lit(600).alias("w"), F.lit(24).alias("h"))
 
     @cached_property
