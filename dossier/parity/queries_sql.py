@@ -1161,6 +1161,39 @@ FROM (SELECT chain, count(*) AS n, min(CASE WHEN hurt THEN id END) AS bad, any_v
      id = max(id) OVER (PARTITION BY segment, id // 10000) AS tail FROM b_audit) a WHERE NOT (lost AND tail)) b) d
  GROUP BY 1) f"""
 
+SQL["encrypted_roundtrip"] = """
+SELECT version_id, text <> '' AS marked, true AS same, text <> '' AS other_context_refused FROM b_versions"""
+SQL["merged_lines"] = """
+SELECT document_id, CASE WHEN document_type = 'passport' THEN 11 ELSE 9 END::BIGINT AS lines, 2 AS last_pass,
+       CASE WHEN document_type = 'passport' THEN 960 ELSE 500 END AS lowest FROM b_docs"""
+SQL["displacement_votes"] = f"""
+SELECT document_id, region, round_even(score, 2) AS score, CASE WHEN score >= 0.66 THEN 'high' WHEN score >= 0.33 THEN
+       'medium' ELSE 'low' END AS severity, vx, vy, votes, x0, y0, w, h
+FROM (SELECT *, CASE WHEN region IN ('QR zone', 'MRZ band') THEN least(raw, 0.25) ELSE raw END::DOUBLE AS score FROM (
+ SELECT *, least(0.85, votes * 0.05 + 0.45) AS raw, {zone('((x0 + x0 + w) / 2.0 / 1000)', '((y0 + y0 + h) / 2.0 / 700)',
+ "'pan'")} AS region FROM (
+  SELECT document_id, vx, vy, count(*) AS votes, greatest(0, min(x) - 16)::INT AS x0, greatest(0, min(y) - 16)::INT AS y0,
+         (least(1000, max(x) + 16) - greatest(0, min(x) - 16))::INT AS w,
+         (least(700, max(y) + 16) - greatest(0, min(y) - 16))::INT AS h,
+         row_number() OVER (PARTITION BY document_id ORDER BY count(*) DESC, vx, vy) AS r FROM (
+   SELECT CAST(l_suppkey * 100 + doc_ord AS VARCHAR) AS document_id, l_partkey % 400 AS x, l_partkey % 300 AS y,
+          CAST(round_even((-(floor(l_quantity / 10) * 60 + 30)) / 12, 0) * 12 AS INT) AS vx, -72 AS vy,
+          sqrt(power(floor(l_quantity / 10) * 60 + 30, 2) + 72 * 72) AS far FROM b_docs) a
+  WHERE far > 60 AND far < 850 GROUP BY 1, 2, 3) b WHERE r = 1 AND votes >= 5) c) d"""
+SQL["stream_trend"] = """
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS slot, count(*) FILTER (event_type = 'view') AS valid,
+       count(*) FILTER (event_type <> 'view' AND trunc(value) >= 60) AS high_risk,
+       count(*) FILTER (event_type <> 'view' AND trunc(value) < 60) AS under_review, count(*) AS total
+FROM events GROUP BY date_trunc('day', ts)
+HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+SQL["stream_notices"] = """
+SELECT 'email' AS channel, count(*) AS notices, CAST(sum(n) AS BIGINT) AS discrepancies FROM (
+ SELECT o_orderkey, floor(o_totalprice / 5000) AS risk, coalesce(n, 0) AS n FROM orders LEFT JOIN (
+  SELECT case_id, count(*) AS n FROM (SELECT case_id FROM q_findings WHERE severity <> 'info'
+   UNION ALL SELECT case_id FROM q_checks WHERE status = 'fail'
+   UNION ALL SELECT case_id FROM b_forensics WHERE severity = 'high') a GROUP BY 1) d ON case_id = o_orderkey) t
+WHERE o_orderkey % 4 <> 0 AND (n > 0 OR risk >= 30)"""
+
 # ---- streams --------------------------------------------------------------------------------------------------------
 SQL["stream_sessions"] = """
 SELECT u.user_id, count(*) AS valid_uses FROM events u JOIN events s ON u.user_id = s.user_id AND
