@@ -1,7 +1,6 @@
 """Compare every registered query with its SQL in DuckDB: python tests/parity_check.py [sf] [name ...]"""
 from __future__ import annotations
 
-import hashlib
 import os
 import sys
 import time
