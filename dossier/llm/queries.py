@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dossier.llm import chat_format, quality_rules, url_trust
+from dossier.llm import chat_format, decontamination, quality_rules, simhash, url_trust
 from dossier.sources.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,17 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     failed = F.col("fail_bits").bitwiseAND(quality_rules.BASE) != 0
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        failed.alias("base_failed"), "kept", "fail_bits")
+
+
+@query
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    rows = decontamination.scan(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    hit = decontamination.hit_words(F.col("spans"))
+    return rows.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+@query
+def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    rows = simhash.near_duplicates(read(spark, folder, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
