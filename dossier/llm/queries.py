@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dossier.llm import chat_format, decontamination, quality_rules, simhash, url_trust
+from dossier.llm import chat_format, decontamination, quality_rules, simhash, substring_dedup, url_trust
 from dossier.sources.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,10 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     rows = simhash.near_duplicates(read(spark, folder, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = substring_dedup.without_repeats(read(spark, folder, "documents"))
+    return rows.select("doc_id", "n_words", substring_dedup.removed_words(F.col("spans")).alias("n_removed"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
