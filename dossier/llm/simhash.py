@@ -117,14 +117,18 @@ def linked(prints: DataFrame, bits: int = BITS, segments: int = SEGMENTS) -> Dat
     """
     if 2 * segments <= bits:
         raise ValueError("segments must leave one that differs by one bit at most")
-    distinct = cut(prints.select("print").distinct())
+    # a print is a few bytes and becomes 64 rows: few files would be few tasks
+    spread = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = cut(prints.select("print").distinct()).repartition(spread, "print")
     keyed = variants(distinct, segments)
     ends = keyed.groupBy("bit", "rest").agg(F.min("print").alias("lo"), F.max("print").alias("hi"))
-    hubs = keyed.join(ends.filter("lo != hi"), ["bit", "rest"]).select("print", F.explode(F.array("lo", "hi")).alias("hub"))
-    first = components(hubs.filter((F.col("print") != F.col("hub")) & (_apart("print", "hub") <= bits)).select(
-        F.col("print").alias("u"), F.col("hub").alias("v")))
+    near = {end: (F.col("print") != F.col(end)) & (_apart("print", end) <= bits) for end in ("lo", "hi")}
+    hubs = keyed.alias("k").join(ends.alias("e"), (F.col("k.bit") == F.col("e.bit")) & (F.col("k.rest") == F.col("e.rest"))
+                                 & (near["lo"] | near["hi"]))
+    first = components(hubs.select(F.col("print").alias("u"), F.explode(F.array(
+        *[F.when(near[end], F.col(end)) for end in ("lo", "hi")])).alias("v")).filter("v IS NOT NULL"))
     named = cut(distinct.join(first.withColumnRenamed("node", "print"), "print", "left").select(
-        "print", F.coalesce("root", "print").alias("root")))
+        "print", F.coalesce("root", "print").alias("root"))).repartition(spread, "print")
     again = variants(named, segments)
     a, b = again.alias("a"), again.alias("b")
     pairs = a.join(b, (F.col("a.bit") == F.col("b.bit")) & (F.col("a.rest") == F.col("b.rest"))
