@@ -109,3 +109,26 @@ SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
         list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN p USING (doc_id)
 """
+
+
+def mixing_sql(documents: str) -> str:
+    """Rows of the mix over a table or subquery: ids, texts' digests, sizes, targets and copies."""
+    return rf"""
+sizes AS MATERIALIZED (SELECT doc_id, source, md5(coalesce(text, '')) AS tie,
+    len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS size FROM {documents}),
+src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
+wt AS (SELECT *, list_extract([5.0::DOUBLE, 2.0, 1.0], ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)) AS w,
+    2.0::DOUBLE * source_size AS most FROM src),
+cum AS (SELECT *, coalesce(sum(most) OVER o, 0) AS used, coalesce(sum(w) OVER o, 0) AS gone FROM wt
+    WINDOW o AS (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lv AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM src) - used) / ((SELECT sum(w) FROM wt) - gone) AS level FROM cum),
+top AS (SELECT coalesce((SELECT level FROM lv WHERE level * w <= most ORDER BY most / w, source NULLS LAST LIMIT 1), 0) AS level),
+goal AS MATERIALIZED (SELECT source, source_size, least(most, top.level * w) AS target FROM wt, top),
+mix AS MATERIALIZED (SELECT s.*, source_size, target, row_number() OVER (PARTITION BY s.source ORDER BY size DESC, doc_id NULLS FIRST, tie) - 1 AS place,
+    CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+    ('0x' || substr(md5('42:' || coalesce(s.source, '') || ':' || (s.source IS NULL)::VARCHAR), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS shift
+    FROM sizes s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source),
+mixed AS (SELECT *, (floor(shift + rate * (place + 1)) - floor(shift + rate * place))::BIGINT AS copies FROM mix)"""
+
+
+ORACLE["op6_mixing"] = f"WITH {mixing_sql('documents')} SELECT doc_id, size, source_size, target, copies * size AS taken FROM mixed"

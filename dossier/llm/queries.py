@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dossier.llm import chat_format, decontamination, quality_rules, simhash, substring_dedup, url_trust
+from dossier.llm import chat_format, decontamination, lm_scoring, mixing, quality_rules, simhash, substring_dedup, url_trust
 from dossier.sources.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,14 @@ def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = substring_dedup.without_repeats(read(spark, folder, "documents"))
     return rows.select("doc_id", "n_words", substring_dedup.removed_words(F.col("spans")).alias("n_removed"),
                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    rows = mixing.mixed(read(spark, folder, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query
+def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.scores(read(spark, folder, "documents"))

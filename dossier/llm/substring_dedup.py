@@ -24,7 +24,7 @@ WINDOW, ANCHOR = 35, 8
 _SPREAD = WINDOW - ANCHOR + 1  # anchors of one window
 _C = np.uint64(0x9E3779B97F4A7C15)
 _C_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_KNOWN = 1 << 19  # remembered word digests per task
+_KNOWN = 1 << 18  # remembered word digests per task
 PHRASES = "doc_id long, digest int, anchor long, phrase long, start int, size int"
 
 
@@ -202,9 +202,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts = _texts(docs, id_col, text_col)
     # anchors seen more than once, and whether around them always the same phrase stands
-    seen = _phrases(texts).groupBy("anchor").agg(
+    # (written down, here and below, so that joins read both sides from a shuffle and can split hot anchors)
+    seen = cut(_phrases(texts).groupBy("anchor").agg(
         F.count("*").alias("n"), F.min("phrase").alias("low"), F.max("phrase").alias("high")).filter("n > 1").select(
-        "anchor", (F.col("low") != F.col("high")).alias("varied"))
+        "anchor", (F.col("low") != F.col("high")).alias("varied")))
     again = cut(_phrases(texts).join(seen, "anchor"))
     place = F.struct("doc_id", "digest", "start", "size")
     phrases = cut(again.filter("varied").groupBy("anchor", "phrase").agg(F.count("*").alias("n"), F.min(place).alias("at")))
@@ -212,23 +213,23 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     asked = phrases.select("at.doc_id", "at.digest", F.struct("anchor", "phrase", "at.start", "at.size").alias("p")).groupBy(
         "doc_id", "digest").agg(F.collect_list("p").alias("asked"))
     windows = cut(_windows(_packed(texts).join(asked, ["doc_id", "digest"])))
-    shared = windows.groupBy("anchor", "window").agg(F.min("phrase").alias("low"), F.max("phrase").alias("high")).filter(
-        "low != high").select("anchor", "window")
+    shared = cut(windows.groupBy("anchor", "window").agg(F.min("phrase").alias("low"), F.max("phrase").alias("high")).filter(
+        "low != high").select("anchor", "window"))
     partly = windows.join(shared, ["anchor", "window"]).groupBy("anchor", "phrase").agg(
         F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits"))
-    whole = _ones(F.col("size"))
-    same = again.filter("not varied").select("doc_id", "digest", "start", whole.alias("bits"))
-    mixed = again.filter("varied").join(phrases.select("anchor", "phrase", "n"), ["anchor", "phrase"]).join(
-        partly, ["anchor", "phrase"], "left").select(
-        "doc_id", "digest", "start", F.when(F.col("n") > 1, whole).otherwise(F.coalesce("bits", F.lit(0).cast("long"))).alias("bits"))
-    found = same.unionByName(mixed.filter("bits != 0")).groupBy("doc_id", "digest").agg(
+    known = cut(phrases.join(partly, ["anchor", "phrase"], "left").select(
+        "anchor", "phrase", F.when(F.col("n") > 1, _ones("at.size")).otherwise(F.col("bits")).alias("bits")).filter("bits != 0"))
+    same = again.filter("not varied").select("doc_id", "digest", "start", _ones("size").alias("bits"))
+    mixed = again.filter("varied").join(known, ["anchor", "phrase"]).select("doc_id", "digest", "start", "bits")
+    found = same.unionByName(mixed).groupBy("doc_id", "digest").agg(
         F.collect_list(F.struct("start", "bits")).alias("found"))
     rows = _kept(_packed(texts).join(found, ["doc_id", "digest"], "left"))
     return rows.withColumn("doc_id", F.nullif("doc_id", F.lit(-2**63)))
 
 
-def _ones(size: Column) -> Column:
-    return F.expr("shiftleft(1L, size)") - 1
+def _ones(size: str) -> Column:
+    """As many set bits as the column says."""
+    return F.expr(f"shiftleft(1L, {size}) - 1")
 
 
 def removed_words(spans: Column) -> Column:
