@@ -132,3 +132,23 @@ mixed AS (SELECT *, (floor(shift + rate * (place + 1)) - floor(shift + rate * pl
 
 
 ORACLE["op6_mixing"] = f"WITH {mixing_sql('documents')} SELECT doc_id, size, source_size, target, copies * size AS taken FROM mixed"
+
+
+def line_dedup_sql(documents: str) -> str:
+    """Rows ``doc_id``, line and chunk counts and ``kept`` text of the line dedup over a table or subquery."""
+    return rf"""
+ln AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM {documents}),
+hs AS (SELECT *, list_transform(l, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h FROM ln),
+cuts AS (SELECT *, list_filter(range(1, len(l) + 1), lambda i: i = len(l) OR (i > 1 AND (31 * h[i - 1] + h[i]) % 4 = 0)) AS e FROM hs),
+ch AS MATERIALIZED (SELECT doc_id, k - 1 AS no, e[k] - coalesce(e[k - 1], 0) AS lines,
+    array_to_string(list_slice(l, coalesce(e[k - 1], 0) + 1, e[k]), chr(10)) AS chunk
+    FROM (SELECT *, unnest(range(1, len(e) + 1)) AS k FROM cuts)),
+mk AS MATERIALIZED (SELECT *, lines > 1 AND regexp_matches(chunk, '\S') AND
+    row_number() OVER (PARTITION BY chunk ORDER BY doc_id, no) > 1 AS gone FROM ch),
+dedup AS MATERIALIZED (SELECT doc_id, sum(lines)::BIGINT AS n_lines, count(*) AS n_chunks,
+    coalesce(sum(lines) FILTER (gone), 0)::BIGINT AS n_removed,
+    coalesce(string_agg(chunk, chr(10) ORDER BY no) FILTER (NOT gone), '') AS kept FROM mk GROUP BY doc_id)"""
+
+
+ORACLE["op5_line_dedup"] = f"""WITH {line_dedup_sql('documents')}
+    SELECT doc_id, n_lines, n_chunks, n_removed, sha256(kept) AS kept_sha256 FROM dedup"""

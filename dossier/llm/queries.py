@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dossier.llm import chat_format, decontamination, lm_scoring, mixing, quality_rules, simhash, substring_dedup, url_trust
+from dossier.llm import chat_format, decontamination, html_wrappers, line_dedup, lm_scoring, mixing, quality_rules, simhash, substring_dedup, url_trust
 from dossier.sources.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,20 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm_scoring.scores(read(spark, folder, "documents"))
+
+
+@query
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: lines, chunks, removed lines, and a digest of the text that is left."""
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    rows = line_dedup.without_repeats(docs)
+    return rows.select("doc_id", F.col("_before.lines").cast("long").alias("n_lines"),
+                       F.col("_before.chunks").cast("long").alias("n_chunks"),
+                       (F.col("_before.lines") - F.col("_after.lines")).cast("long").alias("n_removed"),
+                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query
+def op3_html_wrappers(spark: SparkSession, folder: str) -> DataFrame:
+    rows = html_wrappers.extracted(read(spark, folder, "pages"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -34,12 +34,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class _Digests(dict):
-    """Word to digest, forgotten when it grows large."""
+    """Word to digest; a bounded number of words, the early and so the frequent ones, is remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= _KNOWN:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(self) < _KNOWN:
+            self[word] = value
         return value
 
 
