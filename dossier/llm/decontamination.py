@@ -167,7 +167,7 @@ def _hits(docs: DataFrame, block: list[tuple[str, list[str]]]) -> Callable[[Colu
             yield pd.Series([bool(scanner.spans(normal_words(None if t is None else t.encode()))[0]) for t in texts],
                             dtype=bool)
 
-    return F.pandas_udf(run, "boolean", F.PandasUDFType.SCALAR_ITER)
+    return F.pandas_udf(run, "boolean")
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:

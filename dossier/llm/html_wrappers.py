@@ -168,13 +168,13 @@ def wrapper_of(page: str) -> list[list]:
     root: list[list] = []
     open_: list[tuple[str, list]] = []
     for path, text, linked in texts_of(page):
-        size = len(text.strip())
-        if not size:
-            continue
         same = 0
         while same < min(len(open_), len(path)) and open_[same][0] == path[same]:
             same += 1
-        del open_[same:]
+        del open_[same:]  # an element that ended is not gone on with, even by one of its kind
+        size = len(text.strip())
+        if not size:
+            continue
         for label in path[same:]:
             node = [label, "", []]
             (open_[-1][1] if open_ else root).append(node)

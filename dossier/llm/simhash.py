@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from dossier.session import cut
 
 SHINGLE, BITS, SEGMENTS, SEED = 4, 4, 3, 42
+ROUND = 16
 _CHUNK = 1 << 16
 
 
@@ -108,12 +109,20 @@ def components(edges: DataFrame) -> DataFrame:
         at = cut(small.filter("u != m").select("u", F.col("m").alias("v")).distinct())
 
 
+def _named(prints: DataFrame, roots: DataFrame, column: str) -> DataFrame:
+    """``prints`` with the roots of a later step in place of ``column``; a written table."""
+    moved = prints.join(roots.select(F.col("node").alias(column), F.col("root").alias("_top")), column, "left")
+    return cut(moved.select("print", F.coalesce("_top", column).alias("root")))
+
+
 def linked(prints: DataFrame, bits: int = BITS, segments: int = SEGMENTS) -> DataFrame:
-    """``node, root`` for the distinct ``print`` values that have a link.
+    """``node, root`` for the distinct ``print`` values.
 
-    First every print is tried against the least and the greatest print of each variant it has, which
-    joins dense groups without pairing their members; then only pairs of different components meet.
-    The links not looked at lie inside a component, so the components are those of all links.
+    First every print is tried against the least and the greatest print of each variant it has. Then prints of
+    different components meet in rounds: with one in 16 to some power, one in a 16th of that, and in the
+    end with all, the power being such that the largest variant group sends about 16 members into the first
+    round. So the members of a dense group find together through few links, and the last round leaves no
+    link between components untried; links inside a component need not be looked at.
     """
     if 2 * segments <= bits:
         raise ValueError("segments must leave one that differs by one bit at most")
@@ -121,22 +130,28 @@ def linked(prints: DataFrame, bits: int = BITS, segments: int = SEGMENTS) -> Dat
     spread = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = cut(prints.select("print").distinct()).repartition(spread, "print")
     keyed = variants(distinct, segments)
-    ends = keyed.groupBy("bit", "rest").agg(F.min("print").alias("lo"), F.max("print").alias("hi"))
+    ends = cut(keyed.groupBy("bit", "rest").agg(
+        F.min("print").alias("lo"), F.max("print").alias("hi"), F.count("*").alias("n")).filter("n > 1"))
     near = {end: (F.col("print") != F.col(end)) & (_apart("print", end) <= bits) for end in ("lo", "hi")}
     hubs = keyed.alias("k").join(ends.alias("e"), (F.col("k.bit") == F.col("e.bit")) & (F.col("k.rest") == F.col("e.rest"))
                                  & (near["lo"] | near["hi"]))
     first = components(hubs.select(F.col("print").alias("u"), F.explode(F.array(
         *[F.when(near[end], F.col(end)) for end in ("lo", "hi")])).alias("v")).filter("v IS NOT NULL"))
-    named = cut(distinct.join(first.withColumnRenamed("node", "print"), "print", "left").select(
-        "print", F.coalesce("root", "print").alias("root"))).repartition(spread, "print")
-    again = variants(named, segments)
-    a, b = again.alias("a"), again.alias("b")
-    pairs = a.join(b, (F.col("a.bit") == F.col("b.bit")) & (F.col("a.rest") == F.col("b.rest"))
-                   & (F.col("a.print") < F.col("b.print")) & (F.col("a.root") != F.col("b.root"))
-                   & (_apart("a.print", "b.print") <= bits) & _first_meeting(segments))
-    rest = components(pairs.select(F.col("a.root").alias("u"), F.col("b.root").alias("v")))
-    final = named.join(rest.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
-    return final.select(F.col("print").alias("node"), F.coalesce("top", "root").alias("root"))
+    named = _named(distinct.withColumn("root", F.col("print")), first, "root")
+    share, largest = 1, ends.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    while largest >= share * ROUND * ROUND:
+        share *= ROUND
+    while share:
+        again = named.repartition(spread, "print")
+        some = again if share == 1 else again.filter(F.pmod(F.xxhash64("print"), F.lit(share)) == 0)
+        a, b = variants(again, segments).alias("a"), variants(some, segments).alias("b")
+        test = (F.col("a.root") != F.col("b.root")) & (_apart("a.print", "b.print") <= bits) & _first_meeting(segments)
+        if share == 1:
+            test = test & (F.col("a.print") < F.col("b.print"))
+        pairs = a.join(b, (F.col("a.bit") == F.col("b.bit")) & (F.col("a.rest") == F.col("b.rest")) & test)
+        named = _named(named, components(pairs.select(F.col("a.root").alias("u"), F.col("b.root").alias("v"))), "root")
+        share //= ROUND
+    return named.select(F.col("print").alias("node"), "root")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, segments: int = SEGMENTS,
