@@ -35,7 +35,7 @@ def encrypt_text(col: Column | str, key: bytes, aad: str) -> Column:
     """Empty text stays empty; the nonce is random per row."""
     col = _c(col)
     sealed = F.aes_encrypt(F.encode(col, "UTF-8"), F.lit(bytearray(key)), F.lit("GCM"), F.lit("DEFAULT"),
-                           F.unhex(F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 24)),
+                           F.unhex(F.substring(F.sha2(F.concat(F.uuid(), F.uuid()), 256), 1, 24)),
                            F.lit(aad))
     return F.when(col == "", col).when(col.isNotNull(), F.concat(F.lit(_PREFIX), F.base64(sealed)))
 

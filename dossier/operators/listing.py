@@ -150,28 +150,27 @@ def case_card(cases: DataFrame, docs: DataFrame, versions: DataFrame) -> DataFra
         (F.col("status") == "archived").alias("read_only"))
 
 
-def version_history(versions: DataFrame, most: int) -> DataFrame:
-    """The newest versions of each document, ranked."""
-    return top_n_within(versions, ["document_id"], [F.col("number").desc()], most)
+def version_history(versions: DataFrame) -> DataFrame:
+    """All versions of each document, ranked from the newest."""
+    newest = Window.partitionBy("document_id").orderBy(F.col("number").desc())
+    return versions.withColumn("rank", F.row_number().over(newest))
 
 
 def joined_text(df: DataFrame, keys: Sequence[str], col: str, order: Sequence[str], sep: str,
                 part_rows: int = 1000) -> DataFrame:
-    """Ordered concatenation per key in parts of about ``part_rows`` values.
+    """Ordered concatenation per key in parts of ``part_rows`` values; parts follow one another by ``part_no``.
 
-    Groups up to that size give one part, equal to the plain concatenation;
-    larger groups are spread over parts by hash and stay whole.
+    ``order`` starts with an integer position; the columns after it decide ties.
     """
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    parts = F.ceil(F.col("_n") / part_rows)
-    spread = F.pmod(F.xxhash64(col, *order), parts).cast("int")
-    return df.join(sizes, list(keys)).withColumn("part_no", spread).groupBy(*keys, "part_no").agg(
-        F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct(*order, F.col(col).alias("_v")))),
+    placed = ordinals(df, keys, order[0], name="_place", ties=order[1:])
+    return placed.withColumn("part_no", F.floor((F.col("_place") - 1) / part_rows).cast("int")).groupBy(
+        *keys, "part_no").agg(F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct("_place", F.col(col).alias("_v")))),
             lambda s: s["_v"].cast("string")), sep).alias("text"))
 
 
-def ordinals(df: DataFrame, keys: Sequence[str], position: str, width: int = 1000, name: str = "ordinal") -> DataFrame:
+def ordinals(df: DataFrame, keys: Sequence[str], position: str, width: int = 1000, name: str = "ordinal",
+             ties: Sequence[str] = ()) -> DataFrame:
     """1, 2, 3 … per key by an integer position, without ranking a whole key in one task.
 
     Rows are ranked inside stretches of ``width`` positions; the counts of the
@@ -180,7 +179,7 @@ def ordinals(df: DataFrame, keys: Sequence[str], position: str, width: int = 100
     keys = list(keys)
     placed = df.withColumn("_stretch", F.floor(F.col(position) / width))
     ranked = placed.withColumn("_seq", F.row_number().over(
-        Window.partitionBy(*keys, "_stretch").orderBy(position)))
+        Window.partitionBy(*keys, "_stretch").orderBy(position, *ties)))
     before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy(*keys, "_stretch").agg(F.count("*").alias("_n")).select(
         *keys, "_stretch", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

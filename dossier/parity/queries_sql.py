@@ -511,9 +511,9 @@ SELECT document_id, max(version_id) AS version_id, arg_max(filename, version_id)
 SQL["version_history"] = """
 SELECT document_id, version_id, CAST(p AS INT) AS position FROM (
  SELECT document_id, version_id, row_number() OVER (PARTITION BY document_id ORDER BY version_id DESC) AS p
- FROM b_versions) t WHERE p <= 3"""
+ FROM b_versions) t"""
 SQL["joined_notes"] = """
-SELECT conv_id, string_agg(role, '; ' ORDER BY turn, role) AS text FROM conversations GROUP BY 1"""
+SELECT conv_id, 0 AS part_no, string_agg(text, '; ' ORDER BY turn) AS text FROM conversations GROUP BY 1"""
 SQL["case_detail"] = """
 SELECT c.case_id, reference, coalesce(documents, 0) AS documents, newest, coalesce(members, 0) AS members,
        coalesce(editors, 0) AS editors, coalesce(pending, 0) AS pending
@@ -669,9 +669,9 @@ SQL["search_index"] = f"SELECT version_id, {hmac(chr(39) + 'search:' + chr(39) +
 SQL["evidence_search"] = """
 SELECT query_id, version_id FROM (
  SELECT query_id, version_id, count(*) AS m FROM (
-   SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,40}')[1:3]) AS word
+   SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,40}')) AS word
    FROM benchmark) q JOIN q_words USING (word) GROUP BY 1, 2) h
-JOIN (SELECT item_id AS query_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,40}')[1:3])) AS n
+JOIN (SELECT item_id AS query_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,40}'))) AS n
       FROM benchmark) b USING (query_id) WHERE m = n"""
 SQL["document_search"] = """
 SELECT document_id, created_on FROM (
@@ -1047,13 +1047,13 @@ UNION ALL SELECT case_id, 3, 'forensic_' || region, 'Visual Tampering (' || regi
 SQL["discrepancy_union"] = "SELECT case_id, source, field_name, label, severity, explanation FROM q_discrepancies"
 SQL["outbox"] = """
 SELECT case_id, channel, CASE channel WHEN 'email' THEN email ELSE phone END AS recipient, CASE channel WHEN 'email' THEN
-  'Action Required: Identity Verification Update (Case #' || case_id || ')' END AS subject,
-  'Hello ' || coalesce(array_to_string(list_transform(string_split(lower(trim(person)), ' '), lambda w: upper(w[1]) || w[2:]),
+  'Your papers in case ' || case_id || ' need another look' END AS subject,
+  'Dear ' || coalesce(array_to_string(list_transform(string_split(lower(trim(person)), ' '), lambda w: upper(w[1]) || w[2:]),
    ' '), array_to_string(list_transform(string_split(lower(title), ' '), lambda w: upper(w[1]) || w[2:]), ' ')) ||
-  ', your identity verification (Case #' || case_id || ') requires attention due to a mismatch in: ' ||
+  ', something in your case ' || case_id || ' does not fit together yet: ' ||
   CASE WHEN n > 0 THEN labels || CASE WHEN n > 3 THEN ' and ' || (n - 3) || ' more' ELSE '' END
        ELSE 'verification findings' END ||
-  '. Please check your portal or contact your verification officer to re-submit valid documents.' AS message,
+  '. Look at the case online, or ask the person in charge of it which papers to send again.' AS message,
   coalesce(n, 0) AS discrepancies, 'automatic' AS trigger_type
 FROM (SELECT c.case_id, title, overall_risk, person, n, labels,
   CASE WHEN c.case_id % 3 <> 0 THEN 'c' || c.case_id || '@example.org' END AS email,
@@ -1066,20 +1066,16 @@ FROM (SELECT c.case_id, title, overall_risk, person, n, labels,
  WHERE c.case_id % 4 <> 0) t
 WHERE channel IS NOT NULL AND (coalesce(n, 0) > 0 OR overall_risk >= 30)"""
 SQL["briefing"] = """
-SELECT case_id, 'Hello. Here is the identity verification briefing for case number ' || case_id || ', for ' ||
-  coalesce(person, 'the applicant') || '. ' || CASE WHEN docs = 0 THEN 'No documents have been uploaded to this case yet.'
-  ELSE 'We have processed ' || docs || CASE WHEN docs = 1 THEN ' identity document.' ELSE ' identity documents.' END END ||
-  CASE WHEN conflicts IS NOT NULL THEN ' Please note: we noticed a discrepancy in ' || conflicts ||
-       '. The information on one card does not match the other.' WHEN docs > 0 THEN ' Good news. Personal details such as '
-       || 'the full name and date of birth match consistently across the submitted cards.' ELSE '' END ||
-  CASE WHEN marks > 0 THEN ' Our security checks detected visual anomalies such as possible digital editing or cloned '
-       || 'pixels that require careful human inspection.' WHEN docs > 0 THEN ' The security scan shows the document images '
-       || 'appear authentic and free from digital tampering.' ELSE '' END ||
-  CASE WHEN fails > 0 THEN ' Some document formatting rules or mandatory security numbers did not validate successfully.'
+SELECT case_id, 'Summary of case ' || case_id || ' about ' ||
+  coalesce(person, 'an unnamed person') || '. ' || CASE WHEN docs = 0 THEN 'It holds no documents so far.'
+  ELSE 'It holds ' || docs || CASE WHEN docs = 1 THEN ' document.' ELSE ' documents.' END END ||
+  CASE WHEN conflicts IS NOT NULL THEN ' Documents disagree on ' || conflicts ||
+       '.' WHEN docs > 0 THEN ' No two documents disagree on a field.' ELSE '' END ||
+  CASE WHEN marks > 0 THEN ' Some images carry marks of editing and should be looked at.' WHEN docs > 0 THEN ' No image carries a mark of editing.' ELSE '' END ||
+  CASE WHEN fails > 0 THEN ' At least one check of a number or format failed.'
        ELSE '' END ||
-  CASE recommendation WHEN 'verification_passed' THEN ' Overall, this verification has passed all automated criteria.'
-       WHEN 'review_recommended' THEN ' The system recommends a routine review by an officer.' ELSE ' Because of the '
-       || 'flagged items, manual review is recommended before approving this application.' END AS spoken_text,
+  CASE recommendation WHEN 'verification_passed' THEN ' Nothing stands against approval.'
+       WHEN 'review_recommended' THEN ' A routine review is advised.' ELSE ' Approval should wait for a review of the points named.' END AS spoken_text,
   conflicts IS NOT NULL OR marks > 0 OR fails > 0 AS has_warnings
 FROM (SELECT c.case_id, recommendation, person, coalesce(docs, 0) AS docs, conflicts, coalesce(marks, 0) AS marks,
              coalesce(fails, 0) AS fails

@@ -311,8 +311,8 @@ def latest_versions(b: Bindings) -> DataFrame:
 
 @query
 def version_history(b: Bindings) -> DataFrame:
-    """The three newest versions of each document."""
-    return listing.version_history(b.versions.withColumn("number", F.col("version_id")), 3).select(
+    """All versions of each document, the newest first."""
+    return listing.version_history(b.versions.withColumn("number", F.col("version_id"))).select(
         "document_id", "version_id", F.col("rank").alias("position"))
 
 
@@ -323,9 +323,9 @@ def case_people(b: Bindings) -> DataFrame:
 
 @query
 def joined_notes(b: Bindings) -> DataFrame:
-    """Turns of a conversation as one text each, roles in order."""
+    """Texts of a conversation in order, as long texts in parts."""
     rows = b.raw("conversations")
-    return listing.joined_text(rows, ["conv_id"], "role", ["turn"], "; ").select("conv_id", "text")
+    return listing.joined_text(rows, ["conv_id"], "text", ["turn"], "; ").select("conv_id", "part_no", "text")
 
 
 @query
@@ -445,7 +445,7 @@ def search_index(b: Bindings) -> DataFrame:
 def _asked(b: Bindings) -> DataFrame:
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{3,40}"), F.lit(0))
     return b.raw("benchmark").select(F.col("item_id").alias("query_id"),
-                                     F.array_join(F.slice(words, 1, 3), " ").alias("text"))
+                                     F.array_join(words, " ").alias("text"))
 
 
 @query
