@@ -7,7 +7,7 @@ fingerprints verify it. Copies collapse to one fingerprint first.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -63,25 +63,33 @@ def _mask(low: int, high: int) -> int:
     return ((1 << high) - 1) ^ ((1 << low) - 1)
 
 
-def variants(prints: DataFrame, segments: int) -> DataFrame:
-    """One row per print and bit: the bit's segment with that bit left out, under ``bit`` and ``rest``."""
-    keys = [F.struct(F.lit(b).alias("bit"), F.col("print").bitwiseAND(F.lit(_signed(_mask(lo, hi) & ~(1 << b)))).alias("rest"))
-            for lo, hi in _bounds(segments) for b in range(lo, hi)]
-    return prints.select("*", F.explode(F.array(*keys)).alias("_k")).select(*prints.columns, "_k.*")
+def _value(prints: Sequence[str]) -> str:
+    """Column of a variant that holds its print; where the print is the node, it is not carried twice."""
+    return "node" if list(prints) == ["node"] else "print"
+
+
+def variants(items: DataFrame, prints: Sequence[str], segments: int) -> DataFrame:
+    """One row per item, print and bit: the bit's segment with that bit left out, under ``bit`` and ``rest``."""
+    shown = [] if _value(prints) == "node" else ["print"]
+    keys = [F.struct(F.lit(64 * p + b).alias("bit"),
+                     F.col(name).bitwiseAND(F.lit(_signed(_mask(lo, hi) & ~(1 << b)))).alias("rest"),
+                     *[F.col(name).alias(c) for c in shown])
+            for p, name in enumerate(prints) for lo, hi in _bounds(segments) for b in range(lo, hi)]
+    kept = [c for c in items.columns if c == "node" or c not in prints]
+    return items.select(*kept, F.explode(F.array(*keys)).alias("_k")).select(*kept, "_k.*")
 
 
 def _apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def _first_meeting(segments: int) -> Column:
+def _first_meeting(segments: int, value: str) -> Column:
     """True in just one of the variants that two prints share: the first in which they can meet."""
     test, earlier = F.lit(False), F.lit(True)
-    differ = F.col("a.print").bitwiseXOR(F.col("b.print"))
+    differ, bit = F.col(f"a.{value}").bitwiseXOR(F.col(f"b.{value}")), F.col("a.bit").bitwiseAND(F.lit(63))
     for lo, hi in _bounds(segments):
         part = differ.bitwiseAND(F.lit(_signed(_mask(lo, hi))))
-        here = F.col("a.bit").between(lo, hi - 1) & (
-            ((part == 0) & (F.col("a.bit") == lo)) | (part == F.expr("shiftleft(1L, a.bit)")))
+        here = bit.between(lo, hi - 1) & (((part == 0) & (bit == lo)) | (part == F.expr("shiftleft(1L, a.bit & 63)")))
         test = test | (earlier & here)
         earlier = earlier & (F.bit_count(part) > 1)
     return test
@@ -109,49 +117,63 @@ def components(edges: DataFrame) -> DataFrame:
         at = cut(small.filter("u != m").select("u", F.col("m").alias("v")).distinct())
 
 
-def _named(prints: DataFrame, roots: DataFrame, column: str) -> DataFrame:
-    """``prints`` with the roots of a later step in place of ``column``; a written table."""
-    moved = prints.join(roots.select(F.col("node").alias(column), F.col("root").alias("_top")), column, "left")
-    return cut(moved.select("print", F.coalesce("_top", column).alias("root")))
+def _named(items: DataFrame, roots: DataFrame) -> DataFrame:
+    """``items`` with the roots of a later step in place of ``root``; a written table."""
+    moved = items.join(roots.select(F.col("node").alias("root"), F.col("root").alias("_top")), "root", "left")
+    return cut(moved.withColumn("root", F.coalesce("_top", "root")).select(*items.columns))
 
 
-def linked(prints: DataFrame, bits: int = BITS, segments: int = SEGMENTS) -> DataFrame:
-    """``node, root`` for the distinct ``print`` values.
+def linked(items: DataFrame, prints: Sequence[str] = ("node",), bits: int = BITS, segments: int = SEGMENTS,
+           verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``node, root`` for items of a distinct ``node`` and the columns ``prints``.
 
-    First every print is tried against the least and the greatest print of each variant it has. Then prints of
-    different components meet in rounds: with one in 16 to some power, one in a 16th of that, and in the
-    end with all, the power being such that the largest variant group sends about 16 members into the first
-    round. So the members of a dense group find together through few links, and the last round leaves no
-    link between components untried; links inside a component need not be looked at.
+    Two items link where one of their prints differs by at most ``bits`` and ``verify``, which filters pairs
+    ``u, v`` of nodes, keeps them. First every print is tried against the least and the greatest print of each
+    variant it has. Then items of different components meet in rounds: with one in 16 to some power, one in a
+    16th of that, and in the end with all, the power being such that the largest variant group sends about 16
+    members into the first round. So the members of a dense group find together through few links, and the last
+    round leaves no link between components untried; links inside a component need not be looked at.
     """
     if 2 * segments <= bits:
         raise ValueError("segments must leave one that differs by one bit at most")
-    # a print is a few bytes and becomes 64 rows: few files would be few tasks
-    spread = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = cut(prints.select("print").distinct()).repartition(spread, "print")
-    keyed = variants(distinct, segments)
+    # an item is a few bytes and becomes 64 rows a print: few files would be few tasks
+    spread = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = cut(items.withColumn("root", F.col("node")))
+    value = _value(prints)
+    again = named.repartition(spread, "node")
+    keyed = variants(again, prints, segments)
     ends = cut(keyed.groupBy("bit", "rest").agg(
-        F.min("print").alias("lo"), F.max("print").alias("hi"), F.count("*").alias("n")).filter("n > 1"))
-    near = {end: (F.col("print") != F.col(end)) & (_apart("print", end) <= bits) for end in ("lo", "hi")}
+        F.min(value).alias("lo"), F.max(value).alias("hi"), F.min_by("node", value).alias("lo_node"),
+        F.max_by("node", value).alias("hi_node"), F.count("*").alias("n")).filter("n > 1"))
+    near = {end: (F.col("node") != F.col(f"{end}_node")) & (_apart(value, end) <= bits) for end in ("lo", "hi")}
     hubs = keyed.alias("k").join(ends.alias("e"), (F.col("k.bit") == F.col("e.bit")) & (F.col("k.rest") == F.col("e.rest"))
                                  & (near["lo"] | near["hi"]))
-    first = components(hubs.select(F.col("print").alias("u"), F.explode(F.array(
-        *[F.when(near[end], F.col(end)) for end in ("lo", "hi")])).alias("v")).filter("v IS NOT NULL"))
-    named = _named(distinct.withColumn("root", F.col("print")), first, "root")
+    pairs = hubs.select(F.col("node").alias("u"), F.explode(F.array(
+        *[F.when(near[end], F.col(f"{end}_node")) for end in ("lo", "hi")])).alias("v")).filter("v IS NOT NULL")
+    if verify:
+        pairs = verify(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    named = _named(named, components(pairs.select("u", "v")))
     share, largest = 1, ends.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     while largest >= share * ROUND * ROUND:
         share *= ROUND
     while share:
-        again = named.repartition(spread, "print")
-        some = again if share == 1 else again.filter(F.pmod(F.xxhash64("print"), F.lit(share)) == 0)
-        a, b = variants(again, segments).alias("a"), variants(some, segments).alias("b")
-        test = (F.col("a.root") != F.col("b.root")) & (_apart("a.print", "b.print") <= bits) & _first_meeting(segments)
+        again = named.repartition(spread, "node")
+        some = again if share == 1 else again.filter(F.pmod(F.xxhash64("node"), F.lit(share)) == 0)
+        a, b = variants(again, prints, segments).alias("a"), variants(some, prints, segments).alias("b")
+        test = (F.col("a.root") != F.col("b.root")) & (_apart(f"a.{value}", f"b.{value}") <= bits) & _first_meeting(
+            segments, value)
         if share == 1:
-            test = test & (F.col("a.print") < F.col("b.print"))
+            test = test & (F.col("a.node") < F.col("b.node"))
         pairs = a.join(b, (F.col("a.bit") == F.col("b.bit")) & (F.col("a.rest") == F.col("b.rest")) & test)
-        named = _named(named, components(pairs.select(F.col("a.root").alias("u"), F.col("b.root").alias("v"))), "root")
+        if verify:
+            pairs = verify(pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.root").alias("ru"),
+                                        F.col("b.root").alias("rv")).distinct())
+            edges = pairs.select(F.col("ru").alias("u"), F.col("rv").alias("v"))
+        else:
+            edges = pairs.select(F.col("a.root").alias("u"), F.col("b.root").alias("v"))
+        named = _named(named, components(edges))
         share //= ROUND
-    return named.select(F.col("print").alias("node"), "root")
+    return named.select("node", "root")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, segments: int = SEGMENTS,
@@ -163,17 +185,122 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, s
     null; other columns are not read; an empty table gives no rows.
     """
     prints = cut(fingerprints(docs, shingle, id_col, text_col))
-    of = linked(prints, bits, segments).withColumnRenamed("node", "print")
+    of = linked(prints.select(F.col("print").alias("node")).distinct(), ("node",), bits, segments).withColumnRenamed(
+        "node", "print")
     least = prints.groupBy("print").agg(F.min("doc_id").alias("low")).join(of, "print")
     named = least.groupBy("root").agg(F.min("low").alias("component_id")).join(least.select("root", "print"), "root")
     return prints.join(named.select("print", "component_id"), "print").select("doc_id", "print", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
-    """The rows of ``docs``, all columns, that are the smallest id of their component.
+def shingle_hashes(words: list[bytes], shingle: int, seed: int = SEED) -> np.ndarray:
+    """Distinct digests of the shingles; fewer words than a shingle are one, no words none."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    last = ends[shingle - 1:] if len(words) >= shingle else ends[-1:]
+    return np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts.tolist(), last.tolist())),
+                                 np.uint64, len(last)))
+
+
+def _remixed(hashes: np.ndarray, number: int) -> np.ndarray:
+    """Digests of another, independent print: the first print takes them as they are."""
+    if not number:
+        return hashes
+    with np.errstate(over="ignore"):
+        x = hashes + np.uint64(number) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Majority bits as a signed number; zero where there are none."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), _CHUNK):
+        part = hashes[k:k + _CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
+
+
+def _sketched(docs: DataFrame, shingle: int, prints: int) -> DataFrame:
+    """``row, doc_id, text`` of every row with the digest of its words and ``prints`` prints."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks, made = [], []
+            for text in batch.column("text"):
+                words = (text.as_py() or b"").lower().split()
+                hashes = shingle_hashes(words, shingle)
+                marks.append(xxhash.xxh128_digest(b" ".join(words)))
+                made.append([majority(_remixed(hashes, k)) for k in range(prints)])
+            columns = [pa.array([m[k] for m in made], pa.int64()) for k in range(prints)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.binary()), *columns],
+                                             names=[*batch.schema.names, "mark", *[f"p{k}" for k in range(prints)]])
+
+    schema = "row long, doc_id long, text binary, mark binary, " + ", ".join(f"p{k} long" for k in range(prints))
+    return docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text").mapInArrow(run, schema)
+
+
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """``node, shingles`` of the rows ``node, text``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sets, held = [], [], 0
+            for node, text in zip(batch.column("node").to_pylist(), batch.column("text")):
+                nodes.append(node)
+                sets.append(shingle_hashes((text.as_py() or b"").lower().split(), shingle).view(np.int64))
+                held += len(sets[-1])
+                if held > 16 * _CHUNK:
+                    yield _packed(nodes, sets)
+                    nodes, sets, held = [], [], 0
+            if nodes:
+                yield _packed(nodes, sets)
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+
+
+def _packed(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+    offsets = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))), pa.int32())
+    lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), lists], names=["node", "shingles"])
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 9, segments: int = 5,
+            prints: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, component_id``: documents whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+
+    A pair is a candidate where one of its ``prints`` independent prints differs by ``bits`` at most; every candidate
+    between different components is verified on the whole sets, so no pair below the similarity links. A pair
+    above it is missed only where all its prints lie further apart. Texts of the same words are one item; null and
+    empty texts are one item too and resemble nothing else. Ids are treated as in ``near_duplicates``.
+    """
+    names = [f"p{k}" for k in range(prints)]
+    rows = cut(_sketched(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")),
+                         shingle, prints))
+    items = cut(rows.groupBy("mark").agg(F.min("row").alias("node"), *[F.first(n).alias(n) for n in names]))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs)
+        nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        sets = cut(shingle_sets(rows.select(F.col("row").alias("node"), "text").join(nodes, "node", "left_semi"), shingle))
+        a, b = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}")) for n in "uv")
+        common = F.size(F.array_intersect("su", "sv"))
+        return pairs.join(a, "u").join(b, "v").filter(
+            common / (F.size("su") + F.size("sv") - common) >= similarity).select(*pairs.columns)
+
+    roots = linked(items.drop("mark"), names, bits, segments, verify)
+    of = items.select("mark", "node").join(roots, "node").select("mark", "root")
+    least = rows.groupBy("mark").agg(F.min("doc_id").alias("low")).join(of, "mark")
+    named = least.groupBy("root").agg(F.min("low").alias("component_id")).join(least.select("root", "mark"), "root")
+    return rows.join(named.select("mark", "component_id"), "mark").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: float) -> DataFrame:
+    """The rows of ``docs``, all columns, that are the smallest id of their component of ``similar`` documents.
 
     Rows of one id are one document. Rows without an id stay only where their component has no id at all.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
+    found = similar(docs, id_col=id_col, text_col=text_col, **how)
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(gone, docs[id_col].eqNullSafe(gone[id_col]), "left_anti")

@@ -258,13 +258,50 @@ def test_simhash_components_equal_brute_force(spark, odd):
         least[root[k]] = min((x for x in (least.get(root[k]), i) if x is not None), default=None)
     want = sorted(str((i, p - (1 << 64) if p >> 63 else p, least[root[k]])) for k, ((i, _, _), p) in enumerate(zip(rows, prints)))
     assert sorted(str(tuple(r)) for r in got) == want
-    kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns and kept.filter("doc_id >= 100").count() == len({root[k] for k in range(len(odd), len(rows))} - set(root[:len(odd)]))
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     chain = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(100, 200)], "u long, v long")
     assert {r["node"]: r["root"] for r in simhash.components(chain).collect()} == {**{k: 0 for k in range(31)}, 100: 100, 200: 100}
 
 
+def test_similar_documents_are_verified(spark, odd):
+    """Every link has a similarity of 0.8 or more, and no pair far above it stays apart."""
+    rng = random.Random(4)
+    base = odd[6][1].split() * 4
+    rows = list(odd)
+    for noise in (0.002, 0.01, 0.03, 0.06):
+        rows += [(int(noise * 100_000) + k + 200, " ".join(w if rng.random() > noise else "z%d" % rng.randrange(99) for w in base),
+                  None) for k in range(25)]
+    docs = docs_of(spark, rows)
+    got = [tuple(r) for r in simhash.similar(docs).collect()]
+    assert len(got) == len(rows)
+
+    def shingles(text):
+        w = (text or "").encode().lower().split()
+        return {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for _, t, _ in rows]
+
+    def parts(least):
+        root = list(range(len(rows)))
+        for a in range(len(rows)):
+            for b in range(a):
+                if sets[a] == sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least:
+                    low, high = sorted((root[a], root[b]))
+                    root = [low if r == high else r for r in root]
+        names = {r: min((i for k, (i, _, _) in enumerate(rows) if root[k] == r and i is not None), default=None) for r in root}
+        return sorted(((rows[k][0], names[root[k]]) for k in range(len(rows))), key=str)
+
+    loose, strict = parts(0.8), parts(0.9)
+    # a component found lies inside one at 0.8, and one at 0.9 lies inside a component found
+    wide, found = {i: c for i, c in loose if i is not None}, {i: c for i, c in got if i is not None}
+    assert all(wide[i] == wide[c] for i, c in found.items())
+    assert all(found[i] == found[c] for i, c in strict if i is not None)
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} - {None} == {c for i, c in got if i == c} - {None}
+    assert simhash.similar(docs.limit(0)).count() == 0 and simhash.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_words_are_ascii_space_separated(spark):
     text = "\x0b a b\x1cc\td  e "
     row = spark.createDataFrame([(text,)], "t string").select(common.words(F.col("t")).alias("w")).first()
