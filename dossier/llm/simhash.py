@@ -18,6 +18,7 @@ from dossier.session import cut
 
 SHINGLE, BITS, SEGMENTS, SEED = 4, 4, 3, 42
 ROUND = 16
+SENT_ROWS = 1 << 18  # variants that a round may broadcast, some 40 bytes each
 _CHUNK = 1 << 16
 
 
@@ -128,11 +129,10 @@ def linked(items: DataFrame, prints: Sequence[str] = ("node",), bits: int = BITS
     """``node, root`` for items of a distinct ``node`` and the columns ``prints``.
 
     Two items link where one of their prints differs by at most ``bits`` and ``verify``, which filters pairs
-    ``u, v`` of nodes, keeps them. First every print is tried against the least and the greatest print of each
-    variant it has. Then items of different components meet in rounds: with one in 16 to some power, one in a
-    16th of that, and in the end with all, the power being such that the largest variant group sends about 16
-    members into the first round. So the members of a dense group find together through few links, and the last
-    round leaves no link between components untried; links inside a component need not be looked at.
+    ``u, v`` of nodes, keeps them. Items of different components meet in rounds: with one in 16 to some power, one
+    in a 16th of that, and in the end with all, the power being such that the first round has fewer than 16 to meet.
+    So the members of a dense group find together through few links, and the last round leaves no link between
+    components untried; links inside a component need not be looked at. Rounds of few are sent to all tasks.
     """
     if 2 * segments <= bits:
         raise ValueError("segments must leave one that differs by one bit at most")
@@ -140,26 +140,15 @@ def linked(items: DataFrame, prints: Sequence[str] = ("node",), bits: int = BITS
     spread = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = cut(items.withColumn("root", F.col("node")))
     value = _value(prints)
-    again = named.repartition(spread, "node")
-    keyed = variants(again, prints, segments)
-    ends = cut(keyed.groupBy("bit", "rest").agg(
-        F.min(value).alias("lo"), F.max(value).alias("hi"), F.min_by("node", value).alias("lo_node"),
-        F.max_by("node", value).alias("hi_node"), F.count("*").alias("n")).filter("n > 1"))
-    near = {end: (F.col("node") != F.col(f"{end}_node")) & (_apart(value, end) <= bits) for end in ("lo", "hi")}
-    hubs = keyed.alias("k").join(ends.alias("e"), (F.col("k.bit") == F.col("e.bit")) & (F.col("k.rest") == F.col("e.rest"))
-                                 & (near["lo"] | near["hi"]))
-    pairs = hubs.select(F.col("node").alias("u"), F.explode(F.array(
-        *[F.when(near[end], F.col(f"{end}_node")) for end in ("lo", "hi")])).alias("v")).filter("v IS NOT NULL")
-    if verify:
-        pairs = verify(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    named = _named(named, components(pairs.select("u", "v")))
-    share, largest = 1, ends.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    while largest >= share * ROUND * ROUND:
+    share, count = 1, named.count()
+    while count >= share * ROUND:
         share *= ROUND
     while share:
         again = named.repartition(spread, "node")
         some = again if share == 1 else again.filter(F.pmod(F.xxhash64("node"), F.lit(share)) == 0)
         a, b = variants(again, prints, segments).alias("a"), variants(some, prints, segments).alias("b")
+        if share > 1 and some.count() * 64 * len(prints) <= SENT_ROWS:
+            b = F.broadcast(b)
         test = (F.col("a.root") != F.col("b.root")) & (_apart(f"a.{value}", f"b.{value}") <= bits) & _first_meeting(
             segments, value)
         if share == 1:
