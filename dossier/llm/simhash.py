@@ -58,10 +58,6 @@ def _bounds(segments: int) -> list[tuple[int, int]]:
     return list(zip(at, at[1:]))
 
 
-def _signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
-
-
 def _mask(low: int, high: int) -> int:
     return ((1 << high) - 1) ^ ((1 << low) - 1)
 
@@ -92,8 +88,8 @@ def _first_meeting(prints: Sequence[str], segments: int, wild: bool = True) -> C
     for p, name in enumerate(prints):
         differ = F.col(f"a.{name}").bitwiseXOR(F.col(f"b.{name}"))
         for lo, hi in _bounds(segments):
-            part = differ.bitwiseAND(F.lit(_signed(_mask(lo, hi))))
-            bit = F.when(part == 0, 64 * p + lo).otherwise(64 * p + F.bit_count(part - 1))
+            part = F.shiftrightunsigned(differ, lo).bitwiseAND(F.lit(_mask(0, hi - lo)).cast("long"))
+            bit = 64 * p + lo + F.when(part == 0, 0).otherwise(F.bit_count(part - 1))
             first = first.when(F.bit_count(part) <= int(wild), bit)
     return F.shiftrightunsigned(F.col("a.key").bitwiseOR(F.col("b.key")), 32) == first
 
