@@ -1,27 +1,30 @@
 """Language-model scores: smoothed n-grams as a weighted backoff automaton, one traversal per text.
 
-Counts come from the whole training part. Unigrams are exact for every word. Longer n-grams are kept for
-frequent words and from a relative frequency on, which bounds the automaton (at most one over the
-frequency) however large the corpus is; discounted mass goes down the failure arcs, so the arcs of
-every state still sum to one. The counts of rarer words, which grow with the corpus, never
-travel whole: each text's rare words meet them in a join.
+Counts come from the whole training part: every word, and every longer n-gram that stands there ``LEAST`` times or
+more, however large the corpus is. The model never travels whole. Texts are dealt into blocks; a block asks
+for its own n-grams, counted within it; the counts of an n-gram meet in the bucket of its digest, and the block
+gets back the arcs and failure weights that its texts can follow. Discounted mass goes down the failure arcs, so the
+arcs of every state still sum to one.
+
+N-grams are known by 64-bit digests: among 4e9 different ones about one pair in two corpora is taken for one.
+``Automaton`` is the same model in one piece, for few n-grams.
 """
 from __future__ import annotations
 
+import hashlib
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dossier.session import cut
 
-HEAD = 2e-6  # words of this share and more are known to every task: at most 500,000
-CORE = 1e-4  # words of this share and more form n-grams: at most 10,000
-KEEP = 4e-6  # n-grams of this share and more are kept: at most 250,000 of each order
+BLOCK = 8_000_000  # bytes of text that ask together
+BUCKET, BUCKETS = 16_000_000, 256  # bytes of text for each bucket of digests, and the least number of buckets
 LEAST, DISCOUNT, ORDER = 2, 0.5, 3
 END = b""  # no word is empty
 
@@ -35,43 +38,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """``token, n`` over the binary column ``text``; words are counted per batch before they are shuffled."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: Counter[bytes] = Counter()
-            for text in batch.column(0):
-                counts.update(tokens(text.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())],
-                                             names=["token", "n"])
-
-    return texts.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
-
-
-def gram_counts(texts: DataFrame, core: dict[bytes, int], order: int) -> DataFrame:
-    """``length, gram, n`` of n-grams of core words, a gram as one number of base ``len(core) + 1``."""
-    shared, base = texts.sparkSession.sparkContext.broadcast(core), len(core) + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
-        for batch in batches:
-            parts = [np.zeros(1, np.int64)]
-            for text in batch.column(0):
-                own = tokens(text.as_py())
-                parts += [np.fromiter(map(get, own, repeat(0)), np.int64, len(own)), parts[0]]
-            ids = np.concatenate(parts)
-            grams, whole = ids, ids > 0
-            for length in range(2, order + 1):
-                tail = ids[length - 1:]
-                grams, whole = grams[:len(tail)] * base + tail, whole[:len(tail)] & (tail > 0)
-                values, counts = np.unique(grams[whole], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), length, np.int32)), pa.array(values),
-                                                  pa.array(counts.astype(np.int64))], names=["length", "gram", "n"])
-
-    return texts.select("text").mapInArrow(run, "length int, gram long, n long").groupBy("length", "gram").agg(
-        F.sum("n").alias("n"))
-
-
 class Automaton:
     """States are contexts of kept n-grams; a missing arc follows the failure arc to the shorter context."""
 
@@ -159,21 +125,190 @@ class Automaton:
         return score, plain, known, rare
 
 
-def _traversed(texts: DataFrame, model: tuple) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+def _blocked(rows: DataFrame) -> DataFrame:
+    """``rows`` (text, doc_id, held_out) with the number of their block: runs of about ``BLOCK`` bytes of a partition."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, done = TaskContext.get().partitionId() << 24, 0
+        for batch in batches:
+            sizes = np.fromiter((len(t.as_buffer()) for t in batch.column(0)), np.int64, len(batch))
+            ends = done + np.cumsum(sizes)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part + (ends - sizes) // BLOCK)],
+                                             names=["text", "doc_id", "held_out", "block"])
+            done = int(ends[-1]) if len(ends) else done
+
+    return rows.select("text", "doc_id", "held_out").mapInArrow(run, "text binary, doc_id long, held_out boolean, block long")
+
+
+def _mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Digests of n-grams from those of their contexts and last words."""
+    x = context * np.uint64(0x9E3779B97F4A7C15) + word
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def _grams(texts: Iterable[pa.Scalar], order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Tokens in each text, and for each length the ends (places in the row of all tokens) and digests of its n-grams."""
+    number: dict[bytes, int] = {}
+    parts = []
+    for text in texts:
+        own = tokens(text.as_py())
+        parts.append(np.fromiter((number.setdefault(w, len(number)) for w in own), np.int64, len(own)))
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    digests = np.fromiter((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in number), np.uint64, len(number))
+    words = digests[np.concatenate(parts)] if parts else digests
+    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    ends, keys = np.arange(len(words)), words
+    found = [(ends, keys)]
+    for length in range(2, order + 1):
+        whole = np.zeros(len(words), np.uint64)
+        whole[ends] = keys
+        ends = ends[place[ends] >= length - 1]
+        keys = _mixed(whole[ends - 1], words[ends])
+        found.append((ends, keys))
+    return sizes, found
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Bytes by their rank, so that the zeros of small numbers lie together and compress."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes() if len(values) else b""
+
+
+def _unpacked(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    size = np.dtype(kind).itemsize
+    return [np.ascontiguousarray(np.frombuffer(v.as_py(), np.uint8).reshape(size, -1).T).reshape(-1).view(kind) for v in column]
+
 
+def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys, the sums of their values, the order that sorts ``keys`` and where each key begins in it."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    return keys[starts], np.add.reduceat(values[order], starts) if len(starts) else values[:0], order, starts
+
+
+def _by(number: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The columns cut by a number, in its order."""
+    order = np.argsort(number, kind="stable")
+    number, columns = number[order], [c[order] for c in columns]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(number)), bool), number[1:] != number[:-1]]))
+    for a, b in zip(starts, [*starts[1:], len(number)]):
+        yield int(number[a]), [c[a:b] for c in columns]
+
+
+_ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("grams", pa.binary()), ("contexts", pa.binary()), ("counts", pa.binary())])
+
+
+def _asked(blocked: DataFrame, order: int, buckets: int) -> DataFrame:
+    """A row for each block and bucket: digests of n-grams, of their contexts (0: none), and counts in training texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(*shared.value)
         for batch in batches:
-            words = [tokens(t.as_py()) for t in batch.column(0)]
-            found = list(zip(*[automaton.run(w) for w in words])) or [()] * 4
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), batch.column(3), pa.array(map(len, words), pa.int64()), pa.array(found[2], pa.int64()),
-                 pa.array(found[1], pa.float64()), pa.array(found[0], pa.float64()), pa.array(found[3], pa.list_(pa.binary()))],
-                names=["doc_id", "digest", "held_out", "n_tokens", "known", "base", "score", "rare"])
+            blocks = batch.column(2).to_numpy()
+            cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1), len(blocks)] if len(blocks) else [0]
+            for a, b in zip(cuts, cuts[1:]):
+                sizes, found = _grams(batch.column(0)[a:b], order)
+                learned = np.repeat(~batch.column(1)[a:b].to_numpy(zero_copy_only=False), sizes)
+                whole, before = np.zeros(len(learned), np.uint64), []
+                for ends, keys in found:
+                    before.append(whole[ends - 1] if before else np.zeros(len(keys), np.uint64))
+                    whole = np.zeros(len(learned), np.uint64)
+                    whole[ends] = keys
+                keys, contexts = np.concatenate([k for _, k in found]), np.concatenate(before)
+                grams, counts, at, starts = _sums(keys, np.concatenate([learned[e] for e, _ in found]).astype(np.int64))
+                rows = [(p, int(blocks[a]), *map(_packed, c)) for p, c in _by(
+                    (grams % np.uint64(buckets)).astype(np.int32), grams, contexts[at[starts]], counts)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ASKED.types)], schema=_ASKED)
+
+    return blocked.select("text", "held_out", "block").mapInArrow(
+        run, "bucket int, block long, grams binary, contexts binary, counts binary")
+
+
+_COUNTED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary()),
+                      ("words", pa.int64()), ("kinds", pa.int64())])
+
+
+def _counted(asked: DataFrame, buckets: int) -> DataFrame:
+    """The kept n-grams of each block with their counts in all blocks; and, in rows without a block, what the kept
+    n-grams of a bucket take from their contexts, in the bucket of the context, and its words and different words."""
+    def run(table: pa.Table) -> pa.Table:
+        parts = _unpacked(table["grams"], np.uint64)
+        blocks = np.repeat(table["block"].to_numpy(), [len(p) for p in parts])
+        contexts = np.concatenate(_unpacked(table["contexts"], np.uint64))
+        grams, totals, at, starts = _sums(np.concatenate(parts), np.concatenate(_unpacked(table["counts"], np.int64)))
+        contexts = contexts[at[starts]]
+        kept = totals >= np.where(contexts == 0, 1, LEAST)
+        which = np.repeat(np.arange(len(starts)), np.diff([*starts, len(at)]))
+        asks = kept[which]
+        here = table["bucket"][0].as_py()
+        rows = []
+        for block, (own,) in _by(blocks[at][asks], which[asks]):
+            own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+            rows.append((here, block, _packed(grams[own]), _packed(totals[own]), 0, 0))
+        words = kept & (contexts == 0)
+        rows.append((here, None, b"", b"", int(totals[words].sum()), int(words.sum())))
+        longer = kept & (contexts != 0)
+        above, taken, _, _ = _sums(contexts[longer], totals[longer] - DISCOUNT)
+        rows += [(p, None, _packed(k), _packed(t), 0, 0) for p, (k, t) in _by((above % np.uint64(buckets)).astype(np.int32), above, taken)]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _COUNTED.types)], schema=_COUNTED)
+
+    return asked.groupBy("bucket").applyInArrow(run, "bucket int, block long, grams binary, counts binary, words long, kinds long")
+
+
+_ARCS = pa.schema([("block", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary()), ("taken", pa.binary())])
+
+
+def _arcs(counted: DataFrame) -> DataFrame:
+    """For each block its kept n-grams, their counts and what the kept n-grams they are contexts of take from them."""
+    def run(table: pa.Table) -> pa.Table:
+        own = table.filter(pa.compute.is_valid(table["block"]))
+        rest = table.filter(pa.compute.is_null(table["block"]))
+        above, taken, _, _ = _sums(np.concatenate([np.zeros(0, np.uint64), *_unpacked(rest["grams"], np.uint64)]),
+                                   np.concatenate([np.zeros(0), *_unpacked(rest["counts"], np.float64)]))
+        rows = [(_packed(_found(above, taken, g)),) for g in _unpacked(own["grams"], np.uint64)]
+        return pa.Table.from_arrays([own["block"], own["grams"], own["counts"], pa.array([r[0] for r in rows], pa.binary())], schema=_ARCS)
+
+    return counted.select("bucket", "block", "grams", "counts").groupBy("bucket").applyInArrow(
+        run, "block long, grams binary, counts binary, taken binary")
+
+
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of the wanted keys, 0 for those that are not there; ``keys`` are sorted."""
+    if not len(keys):
+        return np.zeros(len(wanted), values.dtype)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0)
+
+
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                     ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def _scored(blocked: DataFrame, arcs: DataFrame, n: int, v: int, order: int) -> DataFrame:
+    """The traversal: each word by its longest arc, whose chance holds what the failure arcs lead down to it."""
+    def run(texts: pa.Table, own: pa.Table) -> pa.Table:
+        sizes, found = _grams((t for chunk in texts["text"].chunks for t in chunk), order)
+        grams = np.concatenate([np.zeros(0, np.uint64), *_unpacked(own["grams"], np.uint64)])
+        sort = np.argsort(grams)
+        grams = grams[sort]
+        counts = np.concatenate([np.zeros(0, np.int64), *_unpacked(own["counts"], np.int64)])[sort]
+        taken = np.concatenate([np.zeros(0), *_unpacked(own["taken"], np.float64)])[sort]
+        words = found[0][1]
+        known = _found(grams, counts, words)
+        base = (known + 1) / (n + v + 1)
+        chance, above, less = base.copy(), known, _found(grams, taken, words)
+        for ends, keys in found[1:]:
+            c, before = _found(grams, counts, keys), above[ends - 1]
+            some = np.maximum(before, 1)
+            chance[ends] = np.maximum(c - DISCOUNT, 0) / some + (1 - np.where(before > 0, less[ends - 1] / some, 0)) * chance[ends]
+            above, less = np.zeros(len(words), np.int64), np.zeros(len(words))
+            above[ends], less[ends] = c, _found(grams, taken, keys)
+        starts = np.cumsum(sizes) - sizes
+        add = lambda x: np.add.reduceat(x, starts) if len(starts) else x[:0]
+        return pa.Table.from_arrays([texts["doc_id"], texts["held_out"], pa.array(sizes), pa.array(add((known > 0).astype(np.int64))),
+                                     pa.array(add(np.log10(base))), pa.array(add(np.log10(chance)))], schema=_SCORED)
 
-    return texts.select("text", "doc_id", "digest", "held_out").mapInArrow(
-        run, "doc_id long, digest int, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>")
+    return blocked.groupBy("block").cogroup(arcs.groupBy("block")).applyInArrow(
+        run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,25 +318,12 @@ def scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col
     often as they stand and come back as often; rows without an id are learned from; without any training
     row all words are unseen. Other columns are not read.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-2**63)).alias("doc_id"), F.hash(text).alias("digest"),
-                       held_out(F.col(id_col)).alias("held_out"), text.cast("binary").alias("text"))
-    train = rows.filter(~F.col("held_out"))
-    counts = cut(word_counts(train))
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = {bytes(r["token"]): r["n"] for r in counts.filter(F.col("n") >= max(1.0, HEAD * n)).toLocalIterator()}
-    core = {w: k + 1 for k, w in enumerate(sorted(w for w, c in head.items() if c >= CORE * n))}
-    grams = gram_counts(train, core, order).filter(F.col("n") >= max(LEAST, KEEP * n))
-    kept = [(r["length"], r["gram"], r["n"]) for r in grams.toLocalIterator()]
-    done = cut(_traversed(rows, (head, core, kept, n, v)))
-    norm = math.log10(n + v + 1)
-    # copies of a row are counted by their first rare word, so that each gets its own share
-    rare = done.select("doc_id", "digest", F.posexplode("rare").alias("place", "token"))
-    seen = rare.join(counts.filter(F.col("n") < max(1.0, HEAD * n)), "token", "left").groupBy("doc_id", "digest").agg(
-        F.count_if(F.col("place") == 0).alias("twins"), F.count("n").alias("found"), F.sum(F.log10(F.col("n") + 1)).alias("weight"))
-    unseen = F.coalesce(F.col("weight") / F.col("twins"), F.lit(0.0)) - F.size("rare") * norm
-    return done.join(seen, ["doc_id", "digest"], "left").select(
-        F.nullif("doc_id", F.lit(-2**63)).alias("doc_id"), "held_out", "n_tokens",
-        (F.col("known") + F.coalesce(F.col("found") / F.col("twins"), F.lit(0)).cast("long")).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + unseen).alias("base_score"),
-        (F.col("score") + unseen).alias("score"))
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
+                       F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"))
+    blocked = cut(_blocked(rows))
+    size = blocked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(BUCKETS, math.ceil(size / BUCKET))
+    counted = cut(_counted(_asked(blocked, order, buckets), buckets))
+    n, v = counted.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    done = _scored(blocked, _arcs(counted), n, v, order)
+    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
