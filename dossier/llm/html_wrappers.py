@@ -2,14 +2,17 @@
 
 A wrapper is a tree of elements, each once, optional (``?``), repeated (``+``) or both (``*``). Pages are
 aligned with it child by child; what one side lacks becomes optional, neighbours alike become one
-repeated group, differing texts become a slot. Slots are then told apart once per host: menus, adverts
-and the like by their elements, the main part by its element or else by how little of it is links.
+repeated group, texts become a slot. Slots are then told apart once per host: menus, adverts
+and the like by their elements, the main part by its element or else by how little of it is links. A text that stands
+in the same slot on most different pages of a host belongs to the template and is left out.
 """
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -20,6 +23,7 @@ from dossier.session import cut
 
 GROUP = 64  # wrappers merged by one task step
 LINKS = 0.5  # a slot outside a main element whose text is links by more than this share is a menu
+TEMPLATE, PAGES = 0.5, 4  # a text on more than this share of a host's pages is template, if so many pages differ
 # fixed sets of the HTML vocabulary
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span "
@@ -27,6 +31,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 SKIP = frozenset("nav header footer aside form head title script style noscript template iframe button select textarea "
                  "svg canvas object dialog menu audio video".split())
 MAIN = frozenset(("article", "main"))
+FRAME = MAIN | {"html", "body"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
 NOT_IN_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol "
@@ -44,20 +49,28 @@ _HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none""", re.I)
 
 
 def label_of(tag: str, attributes: str) -> str:
-    """An element's name with the words of its class, id and role; numbers in them are alike."""
-    names = [w for m in _NAMES.finditer(attributes) for w in re.findall(r"[a-z]+", m[2].lower())] if attributes else []
+    """An element's name with its classes, id and role, each whole; numbers in them are alike."""
+    names = [w for m in _NAMES.finditer(attributes) for t in m[2].lower().strip("\"'").split()
+             if (w := re.sub(r"[^a-z_-]+", "", t).strip("-_"))] if attributes else []
     if attributes and _HIDDEN.search(attributes):
         names.append("hidden")
     return tag + "".join(f".{w}" for w in sorted(set(names)))
 
 
-def kind_of(label: str) -> str:
+def kind_of(label: str, frame: bool = False) -> str:
+    """``skip``, ``main`` or none; the names of a ``frame``, which holds the main part, do not count against it."""
     tag, *names = label.split(".")
-    if tag in SKIP or not BOILERPLATE.isdisjoint(names):
+    if tag in SKIP or not (frame or tag in FRAME or BOILERPLATE.isdisjoint(names)):
         return "skip"
     return "main" if tag in MAIN or "main" in names else ""
 
 
+def _framing(nodes: list[list]) -> bool:
+    """Whether an element of the main part is among the nodes or below them, outside elements that are skipped by tag."""
+    return any(n[0] != "#" and (tag := n[0].split(".")[0]) not in SKIP and (tag in MAIN or "main" in n[0].split(".") or _framing(n[2]))
+               for n in nodes)
+
+
 def texts_of(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
     """The texts of a page in order: path of element labels, text as in the source, whether it is in a link.
 
@@ -199,27 +212,57 @@ def slots(wrapper: list[list]) -> dict[tuple[str, ...], str]:
                 at = sizes.setdefault(path, [0, 0])
                 at[0], at[1] = at[0] + inner[0], at[1] + inner[1]
             else:
-                own = kind_of(label)
+                own = kind_of(label, label.split(".")[0] not in SKIP and _framing(inner))
                 walk(inner, (*path, label), kind if kind == "skip" else own or kind)
 
     walk(wrapper, (), "body")
     return {p: "skip" if k == "body" and sizes[p][1] > LINKS * sizes[p][0] else k for p, k in kinds.items()}
 
 
-def main_text(page: str, known: dict[tuple[str, ...], str]) -> str:
-    """The texts of a page's main slots, or of its body slots if it has none, a space between blocks."""
+def text_key(path: tuple[str, ...], text: str) -> int:
+    """Digest of a text in its slot."""
+    whole = "\x1f".join((*path, " ".join(text.split()))).encode("utf-8", "replace")
+    return int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "little", signed=True)
+
+
+def main_text(page: str, known: dict[tuple[str, ...], str], template: frozenset[int] = frozenset()) -> str:
+    """The texts of a page's main slots, or of its body slots if it has none, a space between blocks.
+
+    Texts of the template are left out, unless the page has no others.
+    """
     blocks: dict[str, list[str]] = {"main": [], "body": []}
     for path, text, _ in texts_of(page):
         if not text:
             for parts in blocks.values():
                 parts.append(" ")
-        elif (kind := known.get(path, "skip")) != "skip":
+        elif (kind := known.get(path, "skip")) != "skip" and not (template and text.strip() and text_key(path, text) in template):
             blocks[kind].append(text)
     for kind in ("main", "body"):
         text = " ".join(html.unescape("".join(blocks[kind])).split())
         if text:
             return text
-    return ""
+    return main_text(page, known) if template else ""
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """``host, template``: digests of the texts that stand in their slot on most different pages of a host.
+
+    Pages are counted per batch before they are shuffled; a host has at most ``1 / TEMPLATE`` times the texts of a mean page.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter[tuple[str, int | None]] = Counter()
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
+                counts.update((host, k) for k in {None, *(text_key(p, t) for p, t, _ in texts_of(page.as_py()) if t.strip())})
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in counts], pa.string()), pa.array([k for _, k in counts], pa.int64()),
+                                              pa.array(counts.values(), pa.int64())], names=["host", "key", "n"])
+
+    named = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    first = named.withColumn("digest", F.xxhash64("html")).dropDuplicates(["host", "digest"]).select("host", "html")
+    counts = cut(first.mapInArrow(run, "host string, key long, n long").groupBy("host", "key").agg(F.sum("n").alias("n")).filter("n > 1"))
+    hosts = counts.filter(F.col("key").isNull() & (F.col("n") >= PAGES)).select("host", F.col("n").alias("pages"))
+    return counts.filter(F.col("key").isNotNull()).join(hosts, "host").filter(F.col("n") > TEMPLATE * F.col("pages")).groupBy(
+        "host").agg(F.collect_list("key").alias("template"))
 
 
 def _combined(wrappers: Iterable[str]) -> str:
@@ -267,20 +310,20 @@ def extracted(pages: DataFrame) -> DataFrame:
     broken markup is closed where HTML closes it; repeated rows stay; other columns are not read; an empty
     table gives no rows.
     """
-    known = wrappers(pages).withColumnRenamed("host", "_host")
+    known = cut(wrappers(pages).join(templates(pages), "host", "left")).withColumnRenamed("host", "_host")
     rows = pages.select("page_id", "url", "html").join(known, host_of(F.col("url")) == F.col("_host"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, dict[tuple[str, ...], str]] = {}
+        cache: dict[str, tuple[dict[tuple[str, ...], str], frozenset[int]]] = {}
         for batch in batches:
             out = []
-            for page, wrapper in zip(batch.column(2), batch.column(3).to_pylist()):
-                if wrapper not in cache:
+            for page, host, wrapper, template in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), batch.column(5)):
+                if host not in cache:
                     if len(cache) > 1000:
                         cache.clear()
-                    cache[wrapper] = slots(json.loads(wrapper or "[]"))
-                out.append(main_text(page.as_py() or "", cache[wrapper]))
+                    cache[host] = slots(json.loads(wrapper.as_py() or "[]")), frozenset(template.as_py() or ())
+                out.append(main_text(page.as_py() or "", *cache[host]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())],
                                              names=["page_id", "url", "text"])
 
-    return rows.select("page_id", "url", "html", "wrapper").mapInArrow(run, "page_id long, url string, text string")
+    return rows.select("page_id", "url", "html", "_host", "wrapper", "template").mapInArrow(run, "page_id long, url string, text string")
