@@ -152,3 +152,43 @@ dedup AS MATERIALIZED (SELECT doc_id, sum(lines)::BIGINT AS n_lines, count(*) AS
 
 ORACLE["op5_line_dedup"] = f"""WITH {line_dedup_sql('documents')}
     SELECT doc_id, n_lines, n_chunks, n_removed, sha256(kept) AS kept_sha256 FROM dedup"""
+
+ORACLE["op11_fill_in_middle"] = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id::VARCHAR) AS d,
+    regexp_extract_all(coalesce(text, ''), '[ \t-\r]*[^ \t-\r]+|[ \t-\r]+') AS u FROM documents),
+h AS (SELECT *, len(u) AS n, ('0x' || substr(d, 1, 8))::BIGINT % (len(u) + 1) AS a, ('0x' || substr(d, 9, 8))::BIGINT % (len(u) + 1) AS b,
+    ('0x' || substr(d, 17, 8))::BIGINT % 100 AS r, ('0x' || substr(d, 25, 8))::BIGINT % 100 AS s FROM t),
+f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r >= 50 THEN 'plain'
+    WHEN s < 80 THEN 'spm' ELSE 'psm' END AS form, array_to_string(list_slice(u, 1, least(a, b)), '') AS p,
+    array_to_string(list_slice(u, least(a, b) + 1, greatest(a, b)), '') AS m, array_to_string(list_slice(u, greatest(a, b) + 1, n), '') AS e FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || e || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || e || '<M>' || m END)
+    AS output_sha256, sha256(text) AS restored_sha256 FROM f
+"""
+
+ORACLE["op12_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
+f AS (SELECT doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+    + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS fails FROM d),
+l AS (SELECT doc_id, max(quality) AS good, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good = 1) AS good, count(*) FILTER (toxic = 1) AS toxic
+    FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM x a, x b, x c, x d, x e
+    WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+s AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[:step - 1]), 0)::INT AS before
+    FROM (SELECT *, unnest(range(1, 6)) AS step FROM o)),
+g AS (SELECT part, filter_order, step::INT AS step, bit,
+    coalesce(sum(n) FILTER (fails & (before | bit) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (fails & before = 0 AND fails & bit <> 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (fails & before <> 0 AND fails & bit <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (fails & before = 0 AND fails & bit <> 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (fails & before = 0 AND fails & bit <> 0), 0)::BIGINT AS toxic_lost
+    FROM c, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM g
+"""

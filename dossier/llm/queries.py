@@ -5,7 +5,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dossier.llm import chat_format, decontamination, html_wrappers, line_dedup, lm_scoring, mixing, quality_rules, simhash, substring_dedup, url_trust
+from dossier.llm import (bpe_counts, chat_format, decontamination, fill_in_middle, filter_audit, html_wrappers, line_dedup, lm_scoring,
+                         mixing, quality_rules, simhash, substring_dedup, url_trust)
+from dossier.session import cut
 from dossier.sources.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +100,20 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op3_html_wrappers(spark: SparkSession, folder: str) -> DataFrame:
     rows = html_wrappers.extracted(read(spark, folder, "pages"))
     return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts as a written store of frames; digests of the output and of what is read back from it."""
+    store = cut(fill_in_middle.stored(read(spark, folder, "documents")))
+    return fill_in_middle.digested(fill_in_middle.filled(store))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.interactions(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query
+def op13_bpe_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe_counts.counted(read(spark, folder, "documents"))
