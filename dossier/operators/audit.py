@@ -6,9 +6,12 @@ share one; ``chain_name`` makes such names.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hmac
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from dossier import policy
 from dossier.functions.crypto import hmac_sha256
@@ -33,16 +36,27 @@ def _quoted(col: Column) -> Column:
     return F.coalesce(F.when(col.isNotNull(), F.substring(text, 2, F.length(text) - 2)), F.lit("null"))
 
 
-def payload(previous: Column, event: Column | None = None) -> Column:
-    """The digested text: keys in order, no spaces, nulls kept; ``details`` goes in as stored JSON text."""
+def payload_around(event: Column | None = None) -> tuple[Column, Column]:
+    """The digested text before and after the previous hash: keys in order, no spaces, nulls kept.
+
+    ``details`` goes in as stored JSON text.
+    """
     def of(name: str) -> Column:
         return F.col(name) if event is None else event[name]
 
-    return F.concat(
+    before = F.concat(
         F.lit('{"action":'), _quoted(of("action")), F.lit(',"actor":'), _quoted(of("actor_id")),
         F.lit(',"case":'), _quoted(of("case_id")), F.lit(',"details":'), F.coalesce(of("details"), F.lit("{}")),
-        F.lit(',"previous":'), _quoted(previous), F.lit(',"target":'), _quoted(of("target_id")),
-        F.lit(',"time":'), _quoted(iso_time(of("created_at"))), F.lit("}"))
+        F.lit(',"previous":'))
+    after = F.concat(F.lit(',"target":'), _quoted(of("target_id")), F.lit(',"time":'), _quoted(iso_time(of("created_at"))),
+                     F.lit("}"))
+    return before, after
+
+
+def payload(previous: Column, event: Column | None = None) -> Column:
+    """The whole digested text of an event."""
+    before, after = payload_around(event)
+    return F.concat(before, _quoted(previous), after)
 
 
 def digest(previous: Column, key: bytes, event: Column | None = None) -> Column:
@@ -104,26 +118,31 @@ _EVENT = ("id", "actor_id", "case_id", "action", "target_id", "details", "create
 def append_audit(events: DataFrame, heads: DataFrame, key: bytes) -> DataFrame:
     """Link new events (chain, id, actor_id, case_id, action, target_id, details, created_at) to their chains.
 
-    Each chain is folded in order; chain names bound how many events that is.
-    The new heads are the last hash per chain (``chain_heads``).
+    The rows of a chain pass one task in the order of their ids, and only the last hash is carried from one to the
+    next: linear in the events, and no chain is ever held. What depends on a row alone is put together before, in the
+    JVM. ``heads`` (chain, event_hash) are the last hashes so far, those after it are ``chain_heads`` of the result.
     """
-    event = F.struct(*_EVENT)
-    grouped = events.groupBy("chain").agg(F.array_sort(F.collect_list(event)).alias("items"))
-    ready = grouped.join(heads.select("chain", F.col("event_hash").alias("head")), "chain", "left").withColumn(
-        "head", F.coalesce("head", F.lit(policy.GENESIS)))
-
-    def step(done: Column, item: Column) -> Column:
-        previous = F.coalesce(F.try_element_at(done, F.lit(-1)), F.col("head"))
-        return F.concat(done, F.array(digest(previous, key, item)))
-
-    hashes = F.aggregate("items", F.array().cast("array<string>"), step)
-    linked = ready.withColumn("hashes", hashes).select(
-        "chain", "head", "hashes", F.posexplode("items").alias("at", "e"))
-    return linked.select(
-        "chain", "e.*",
-        F.when(F.col("at") == 0, F.col("head")).otherwise(F.try_element_at("hashes", F.col("at")))
-        .alias("previous_hash"),
-        F.element_at("hashes", F.col("at") + 1).alias("event_hash"))
+    before, after = payload_around()
+    known = heads.select(F.col("chain").alias("_chain"), F.col("event_hash").alias("_head"))
+    rows = events.select("chain", *_EVENT, before.alias("_before"), after.alias("_after")).join(
+        known, F.col("chain").eqNullSafe(F.col("_chain")), "left").drop("_chain")
+    result = StructType([*events.select("chain", *_EVENT).schema, StructField("previous_hash", StringType()),
+                         StructField("event_hash", StringType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, last = object(), policy.GENESIS
+        for batch in batches:
+            previous, own = [], []
+            for name, head, front, back in zip(*(batch.column(c).to_pylist() for c in ("chain", "_head", "_before", "_after"))):
+                if name != chain:
+                    chain, last = name, head or policy.GENESIS
+                previous.append(last)
+                last = hmac.digest(key, f'{front}"{last}"{back}'.encode(), "sha256").hex()
+                own.append(last)
+            kept = [batch.column(n) for n in result.names[:-2]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(previous, pa.string()), pa.array(own, pa.string())], names=result.names)
+
+    return rows.repartition("chain").sortWithinPartitions("chain", "id").mapInArrow(fold, result)
 
 
 def chain_heads(events: DataFrame) -> DataFrame:

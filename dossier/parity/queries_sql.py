@@ -1194,7 +1194,28 @@ WHERE o_orderkey % 4 <> 0 AND (n > 0 OR risk >= 30)"""
 SQL["stream_sessions"] = """
 SELECT u.user_id, count(*) AS valid_uses FROM events u JOIN events s ON u.user_id = s.user_id AND
  s.event_type = 'signup' AND u.event_type = 'click' AND u.ts >= s.ts AND u.ts < s.ts + INTERVAL 12 HOURS GROUP BY 1"""
-SQL["stream_links"] = "SELECT true AS linked, true AS sound, false AS late, count(*) AS events FROM events"
+SQL["stream_links"] = """
+SELECT CASE WHEN id % 1009 = 7 THEN before = 0 ELSE NOT coalesce(gap, false) END AS linked,
+       id % 997 <> 13 AND (id % 1009 <> 7 OR n = 1) AS sound, false AS late, count(*) AS events
+FROM (SELECT *, max(created) OVER (PARTITION BY chain ORDER BY id) AS reached, max(created) OVER () AS newest FROM (
+ SELECT *, epoch_ms(created_at) AS created, lag(lost) OVER c AS gap, row_number() OVER c AS n,
+   coalesce(count(*) FILTER (NOT lost) OVER (PARTITION BY chain ORDER BY id
+     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (
+  SELECT *, segment || '/' || id // 10000 AS chain, id % 499 = 11 AS lost FROM b_audit) a
+ WINDOW c AS (PARTITION BY chain ORDER BY id)) b WHERE NOT lost) d
+WHERE reached < newest - 3600000 GROUP BY 1, 2"""
+SQL["stream_lockouts"] = """
+WITH RECURSIVE a AS (SELECT user_id, event_id, ts, event_type = 'signup' AS ok,
+   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type IN ('error', 'signup')),
+s AS (SELECT DISTINCT user_id, NULL::BIGINT AS event_id, NULL::TIMESTAMP AS ts, 0::BIGINT AS k, '' AS outcome, 0 AS failures,
+   NULL::TIMESTAMP AS locked FROM a
+ UNION ALL SELECT a.user_id, a.event_id, a.ts, a.k,
+  CASE WHEN s.locked > a.ts THEN 'rejected' WHEN ok THEN 'accepted' WHEN failures >= 4 THEN 'locked' ELSE 'failed' END,
+  CASE WHEN s.locked > a.ts THEN failures WHEN ok OR failures >= 4 THEN 0 ELSE failures + 1 END,
+  CASE WHEN s.locked > a.ts THEN s.locked WHEN ok THEN NULL WHEN failures >= 4 THEN a.ts + INTERVAL 15 MINUTES ELSE s.locked END
+  FROM s JOIN a ON a.user_id = s.user_id AND a.k = s.k + 1)
+SELECT event_id, user_id, outcome, false AS late FROM s
+WHERE k > 0 AND epoch_ms(ts) < (SELECT max(epoch_ms(ts)) FROM a) - 3600000"""
 SQL["stream_reuse"] = """
 SELECT DISTINCT sha256(props) AS file_hash FROM events WHERE ts >= TIMESTAMP '2024-01-02' AND props IN
  (SELECT props FROM events WHERE ts < TIMESTAMP '2024-01-02')"""

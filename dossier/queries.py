@@ -964,9 +964,13 @@ def stream_sessions(b: Bindings) -> DataFrame:
 
 @query
 def stream_links(b: Bindings) -> DataFrame:
-    """A written log read as a stream; every link holds."""
+    """A damaged log read as a stream: changed actions, broken links and lost events."""
     none = b.spark.createDataFrame([], "chain string, event_hash string")
-    log = cut(audit.append_audit(_events(b), none, KEY))
+    number = F.col("id")
+    whole = audit.append_audit(_events(b), none, KEY)
+    log = cut(whole.filter(number % 499 != 11)
+              .withColumn("action", F.when(number % 997 == 13, F.lit("edited")).otherwise(F.col("action")))
+              .withColumn("previous_hash", F.when(number % 1009 == 7, F.lit(policy.GENESIS)).otherwise(F.col("previous_hash"))))
     source = b.spark.readStream.schema(log.schema).parquet(log.inputFiles()[0].rsplit("/", 1)[0])
     return _run(b, jobs.live_links(source, KEY)).groupBy("linked", "sound", "late").agg(F.count("*").alias("events"))
 

@@ -48,6 +48,7 @@ def compare(spark, con, folder, name):
     left = query(spark, folder)
     types = dict(left.dtypes)
     left = left.toPandas()
+    left = left.astype({c: "Int64" for c, t in types.items() if t in ("bigint", "int") and left[c].dtype.kind == "f"})
     seconds = time.time() - start
     if sql is None:
         return "rows only", len(left), seconds, ""
