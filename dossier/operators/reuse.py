@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -14,6 +16,7 @@ from dossier.session import cut
 
 NEAR_BITS = 8
 BITS = 64
+SPARE = 4  # blocks that two near hashes share at least
 
 
 def same_hash(docs: DataFrame, hash_col: str = "file_hash") -> DataFrame:
@@ -74,69 +77,85 @@ def _votes(hashes: pd.Series) -> pd.Series:
     return pd.Series(out.view(np.int64))
 
 
-def _bands(bits: int) -> list[tuple[int, int]]:
-    """(shift, width) of ``bits`` + 1 bands over 64 bits."""
-    count = bits + 1
-    widths = [BITS // count + (1 if i < BITS % count else 0) for i in range(count)]
-    shifts = [sum(widths[:i]) for i in range(count)]
-    return list(zip(shifts, widths))
+def blocks_of(count: int) -> list[tuple[int, int]]:
+    """(shift, width) of ``count`` blocks over 64 bits."""
+    at = [BITS * k // count for k in range(count + 1)]
+    return [(low, high - low) for low, high in zip(at, at[1:])]
 
 
-def near_hash(docs: DataFrame, hash_col: str = "near_hash", bits: int = NEAR_BITS) -> DataFrame:
-    """Pairs of *distinct* hashes that differ in at most ``bits`` bits, with their documents counted.
+def _mask(low: int, width: int) -> int:
+    """The bits of a block as a signed number."""
+    bits = (1 << low + width) - (1 << low)
+    return bits - (1 << BITS) if bits >> BITS - 1 else bits
 
-    Two such hashes agree on at least one of ``bits`` + 1 bands. Distinct hashes
-    are grouped first, so copies cost nothing. Bands in which too many hashes
-    meet are split further by the other bands (``_narrow``), until the groups
-    are small; no pair is left out.
-    """
-    distinct = docs.filter(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("h")).agg(
-        F.count("*").alias("n"), F.min("document_id").alias("document_id"))
-    distinct = cut(distinct)
 
-    def band(shift: int, width: int) -> Column:
-        return F.shiftrightunsigned("h", shift).bitwiseAND(F.lit((1 << width) - 1))
+def indexed(hashes: DataFrame, bits: int = NEAR_BITS, spare: int = SPARE) -> DataFrame:
+    """``h, key`` for each hash ``h`` and each choice of ``spare`` of its ``bits`` + ``spare`` blocks.
 
-    banded = distinct.select("h", F.posexplode(F.array(*[band(s, w) for s, w in _bands(bits)])).alias("b", "v"))
-    pairs = _narrow(banded, bits)
-    left = distinct.select(F.col("h").alias("hash_a"), F.col("document_id").alias("document_a"),
-                           F.col("n").alias("copies_a"))
-    right = distinct.select(F.col("h").alias("hash_b"), F.col("document_id").alias("document_b"),
-                            F.col("n").alias("copies_b"))
-    return pairs.join(left, "hash_a").join(right, "hash_b").withColumn(
-        "distance", hamming("hash_a", "hash_b"))
+    Two hashes that differ in at most ``bits`` bits differ in at most as many blocks, so all blocks of some choice agree.
+    The key has a bit for each chosen block on top and a digest of what they hold below.
+    """
+    blocks = blocks_of(bits + spare)
+    choices = [(sum(1 << b for b in chosen), sum(_mask(*blocks[b]) for b in chosen)) for chosen in combinations(range(len(blocks)), spare)]
+    # one constant of the plan; an array of as many column objects would be slow to build
+    codes, masks = (F.split(F.lit(" ".join(str(x[k]) for x in choices)), " ").cast("array<bigint>") for k in (0, 1))
+    each = F.explode(F.arrays_zip(codes.alias("blocks"), masks.alias("mask")))
+    low = BITS - len(blocks)
+    top, digest = F.shiftleft("c.blocks", low), F.xxhash64(F.col("h").bitwiseAND(F.col("c.mask")))
+    return hashes.select("h", each.alias("c")).select("h", top.bitwiseOR(F.shiftrightunsigned(digest, len(blocks))).alias("key"))
 
 
-MEET = 256  # hashes that may meet in one band value
+def _first_choice(key: Column, a: Column, b: Column, bits: int, spare: int) -> Column:
+    """Whether ``key`` is the lowest choice of blocks in which two hashes agree: a pair comes out there, once.
 
+    The blocks that agree, up to the highest chosen one, must be the chosen ones.
+    """
+    blocks = blocks_of(bits + spare)
+    differ = a.bitwiseXOR(b)
+    agree = F.lit(0).cast("long")
+    for number, block in enumerate(blocks):
+        agree = agree.bitwiseOR(F.when(differ.bitwiseAND(F.lit(_mask(*block)).cast("long")) == 0, F.lit(1 << number)).otherwise(F.lit(0)))
+    chosen = F.shiftrightunsigned(key, BITS - len(blocks))
+    upto = chosen
+    for step in (1, 2, 4, 8):
+        upto = upto.bitwiseOR(F.shiftrightunsigned(upto, step))
+    return agree.bitwiseAND(upto) == chosen
+
+
+def _distinct_hashes(docs: DataFrame, hash_col: str) -> DataFrame:
+    return docs.filter(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("h")).agg(
+        F.count("*").alias("n"), F.min("document_id").alias("document_id"))
 
-def _narrow(banded: DataFrame, bits: int) -> DataFrame:
-    """Candidate pairs of the bands, each checked for distance where it is made.
 
-    A crowded band value is keyed again: hashes equal on one band still differ
-    in at most ``bits`` bits on the rest, so they agree on one of ``bits`` + 1
-    slices of the remaining 64 positions shuffled by a second cut of the word.
+def near_hash(docs: DataFrame, hash_col: str = "near_hash", bits: int = NEAR_BITS, spare: int = SPARE) -> DataFrame:
+    """Pairs of *distinct* hashes that differ in at most ``bits`` bits, with their documents counted.
+
+    Distinct hashes are counted first, so copies cost nothing. Each is indexed under every choice of ``spare`` of its
+    ``bits`` + ``spare`` blocks (495 keys of some 21 bits); hashes that share a key are compared inside the join, and a pair
+    comes out at its first shared key only. No pair is left out, and the path is one for all sizes. A higher ``spare``
+    makes longer keys and fewer comparisons for more index rows (``near_cost``).
     """
-    crowd = banded.groupBy("b", "v").agg(F.count("*").alias("m")).filter(F.col("m") > MEET).drop("m")
-    crowded = not crowd.isEmpty()
-    calm = banded.join(crowd, ["b", "v"], "left_anti") if crowded else banded
-
-    def meet(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-        other = rows.select(*keys, F.col("h").alias("hash_b"))
-        return rows.withColumnRenamed("h", "hash_a").join(other, list(keys)).filter(
-            (F.col("hash_a") < F.col("hash_b")) & (hamming("hash_a", "hash_b") <= bits)).select("hash_a", "hash_b")
-
-    pairs = meet(calm, ["b", "v"])
-    if crowded:
-        # rotate by half a band so that the second cut crosses the first one
-        turn = BITS // (bits + 1) // 2
-        turned = F.shiftleft("h", turn).bitwiseOR(F.shiftrightunsigned("h", BITS - turn))
-        second = F.array(*[F.shiftrightunsigned(turned, s).bitwiseAND(F.lit((1 << w) - 1))
-                           for s, w in _bands(bits)])
-        inner = banded.join(crowd, ["b", "v"], "left_semi").select(
-            "h", "b", "v", F.posexplode(second).alias("b2", "v2"))
-        pairs = pairs.unionByName(meet(inner, ["b", "v", "b2", "v2"]))
-    return pairs.distinct()
+    distinct = cut(_distinct_hashes(docs, hash_col))
+    left = indexed(distinct, bits, spare).withColumnRenamed("h", "hash_a")
+    right = indexed(distinct, bits, spare).withColumnRenamed("h", "hash_b")
+    a, b = F.col("hash_a"), F.col("hash_b")
+    near = (a < b) & (hamming("hash_a", "hash_b") <= bits)
+    # Spark does not know how many rows an index has and would broadcast one
+    pairs = left.join(right.hint("merge"), "key").filter(near & _first_choice(F.col("key"), a, b, bits, spare)).select("hash_a", "hash_b")
+    of_a = distinct.select(F.col("h").alias("hash_a"), F.col("document_id").alias("document_a"),
+                           F.col("n").alias("copies_a"))
+    of_b = distinct.select(F.col("h").alias("hash_b"), F.col("document_id").alias("document_b"), F.col("n").alias("copies_b"))
+    return pairs.join(of_a, "hash_a").join(of_b, "hash_b").withColumn("distance", hamming("hash_a", "hash_b"))
+
+
+def near_cost(docs: DataFrame, hash_col: str = "near_hash", bits: int = NEAR_BITS, spare: int = SPARE) -> DataFrame:
+    """What ``near_hash`` will do: distinct hashes, index rows, pairs compared, and the most rows under one key."""
+    keys = indexed(_distinct_hashes(docs, hash_col), bits, spare).groupBy("key").agg(F.count("*").alias("m"))
+    choices = comb(bits + spare, spare)
+    return keys.agg((F.coalesce(F.sum("m"), F.lit(0)) / choices).cast("long").alias("hashes"),
+                    F.coalesce(F.sum("m"), F.lit(0)).alias("index_rows"),
+                    F.coalesce(F.sum(F.expr("m * (m - 1) div 2")), F.lit(0)).alias("compared"),
+                    F.coalesce(F.max("m"), F.lit(0)).alias("largest"))
 
 
 # ---- feature vectors -----------------------------------------------------------------

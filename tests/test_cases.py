@@ -221,7 +221,7 @@ def test_reuse(spark):
     assert set(rows) == {1, 2, 3} and rows[1].hits == 2 and rows[3].other_document_id == 1
 
 
-def test_near_hash_equals_brute_force(spark, monkeypatch):
+def test_near_hash_equals_brute_force(spark):
     import random
     rng = random.Random(7)
     base = [rng.getrandbits(64) for _ in range(40)]
@@ -229,9 +229,26 @@ def test_near_hash_equals_brute_force(spark, monkeypatch):
     signed = sorted({v % 2 ** 64 - 2 ** 64 if v % 2 ** 64 >= 2 ** 63 else v % 2 ** 64 for v in base + near})
     docs = spark.createDataFrame(list(enumerate(signed)), "document_id long, near_hash long")
     want = {(a, b) for i, a in enumerate(signed) for b in signed[i + 1:] if bin((a ^ b) % 2 ** 64).count("1") <= 8}
-    for most in (256, 1):
-        monkeypatch.setattr(reuse, "MEET", most)
-        assert {(r.hash_a, r.hash_b) for r in reuse.near_hash(docs).collect()} == want
+    for spare in (1, 3, 4):
+        got = reuse.near_hash(docs, spare=spare).collect()
+        assert {(r.hash_a, r.hash_b) for r in got} == want and len(got) == len(want)
+        assert all(r.distance == bin((r.hash_a ^ r.hash_b) % 2 ** 64).count("1") for r in got)
+        cost = reuse.near_cost(docs, spare=spare).first()
+        assert cost.hashes == len(signed) and cost.index_rows == len(signed) * {1: 9, 3: 165, 4: 495}[spare] and cost.compared >= len(want)
+    copies = docs.unionByName(docs).unionByName(docs.limit(1).withColumn("near_hash", F.lit(None).cast("long")))
+    assert {(r.copies_a, r.copies_b) for r in reuse.near_hash(copies).collect()} == {(2, 2)}
+    assert reuse.near_hash(docs.limit(0)).count() == 0 and reuse.near_cost(docs.limit(0)).first().compared == 0
+
+
+def test_near_hash_inside_one_dense_group(spark):
+    """Hashes that all lie near each other: every pair once."""
+    import random
+    rng = random.Random(8)
+    centre = rng.getrandbits(63)
+    signed = sorted({centre ^ (1 << a) ^ (1 << b) for a in range(0, 60, 3) for b in range(1, 60, 4)})
+    docs = spark.createDataFrame(list(enumerate(signed)), "document_id long, near_hash long")
+    got = [(r.hash_a, r.hash_b) for r in reuse.near_hash(docs).collect()]
+    assert len(got) == len(set(got)) == len(signed) * (len(signed) - 1) // 2
 
 
 def test_age_uses_birthdays(spark):
