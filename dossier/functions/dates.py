@@ -52,11 +52,10 @@ def age_at(born: Column, on: Column) -> Column:
 
 
 def short_date(col: Column | str, as_of: Column, kind: str = "dob") -> Column:
-    """Two-digit-year date: births after this year, and expiries 50 years on, fall back a century."""
+    """Two-digit-year date in the last century that ends with this year (births) or 50 years on (expiries)."""
     col = _c(col)
     year = F.substring(col, 1, 2).try_cast("int")
-    this_year = F.year(as_of) % 100
-    limit = this_year if kind == "dob" else this_year + 50
-    full = F.when(year > limit, year + 1900).otherwise(year + 2000)
+    latest = F.year(as_of) + F.lit(0 if kind == "dob" else 50)
+    full = latest - F.pmod(latest - year, F.lit(100))
     return F.when(col.rlike(r"^\d{6}$"),
                   _iso(full.cast("string"), F.substring(col, 3, 2), F.substring(col, 5, 2)))

@@ -56,6 +56,11 @@ def dashboard_summary(cases: DataFrame) -> DataFrame:
         F.bround(F.avg("overall_risk"), 1).alias("average_risk_score"))
 
 
+def counts_for(findings: DataFrame) -> Column:
+    """What a finding counts for: the pairs behind it where findings carry them, else one."""
+    return (F.col("pairs") if "pairs" in findings.columns else F.lit(1)).cast("long")
+
+
 def kpis(cases: DataFrame, docs: DataFrame, findings: DataFrame, stages: DataFrame) -> DataFrame:
     """One row of key figures; the high-risk set overlaps the other two."""
     outcome = _outcome()
@@ -68,8 +73,8 @@ def kpis(cases: DataFrame, docs: DataFrame, findings: DataFrame, stages: DataFra
         .alias("high_risk_count"),
         F.bround(F.avg("overall_risk"), 1).alias("average_risk_score"))
     face = findings.filter(F.col("field_name") == "facial_photo").agg(
-        F.struct(F.count("*").alias("n"),
-                 F.count_if(F.col("severity").isin("medium", "high")).alias("bad"))).scalar()
+        F.struct(F.coalesce(F.sum(counts_for(findings)), F.lit(0)).alias("n"),
+                 F.coalesce(F.sum(F.when(F.col("severity").isin("medium", "high"), counts_for(findings))), F.lit(0)).alias("bad"))).scalar()
     latency = stage_latency(stages).agg(F.coalesce(F.sum("avg_duration_ms"), F.lit(0))).scalar()
     total = F.col("total_cases")
     return counted.select(
@@ -123,10 +128,10 @@ def risk_distribution(cases: DataFrame) -> DataFrame:
 
 def discrepancy_ranking(findings: DataFrame, ranked: Sequence[str] = policy.RANKED_FIELDS) -> DataFrame:
     """Findings per field with their severities; listed fields without findings show zero."""
-    severity = F.coalesce("severity", F.lit("medium"))
+    severity, weight = F.coalesce("severity", F.lit("medium")), counts_for(findings)
     levels = ("info", "low", "medium", "high")
     counted = findings.groupBy("field_name").agg(
-        F.count("*").alias("count"), *[F.count_if(severity == s).alias(s) for s in levels])
+        F.sum(weight).alias("count"), *[F.sum(F.when(severity == s, weight).otherwise(0)).alias(s) for s in levels])
     listed = findings.sparkSession.createDataFrame([(f,) for f in ranked], "field_name string")
     full = listed.join(counted, "field_name", "full").select(
         "field_name", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("count", *levels)])
@@ -157,8 +162,8 @@ def signal_rates(findings: DataFrame, forensics: DataFrame, validations: DataFra
     validations (case_id, check_type, status).
     """
     def pick(df: DataFrame, signal: Column, score: Column) -> DataFrame:
-        return df.select("case_id", signal.alias("signal_key"), score.cast("double").alias("score")).filter(
-            F.col("signal_key").isNotNull())
+        return df.select("case_id", signal.alias("signal_key"), score.cast("double").alias("score"),
+                         counts_for(df).alias("w")).filter(F.col("signal_key").isNotNull())
 
     kind, check = F.col("finding_type"), F.col("check_type")
     hits = pick(forensics, F.when(kind == "copy_move_anomaly", "copy_move_cloning")
@@ -174,7 +179,7 @@ def signal_rates(findings: DataFrame, forensics: DataFrame, validations: DataFra
     total = cases.agg(F.count("*")).scalar()
     # cases are made distinct before they are counted, so one hot signal stays spread over tasks
     per_case = hits.groupBy("signal_key", "case_id").agg(
-        F.count("*").alias("n"), F.sum("score").alias("s"), F.count("score").alias("ns"))
+        F.sum("w").alias("n"), F.sum("score").alias("s"), F.count("score").alias("ns"))
     counted = per_case.groupBy("signal_key").agg(
         F.sum("n").alias("detected_count"), F.count("*").alias("cases"),
         F.bround(F.sum("s") / F.nullif(F.sum("ns"), F.lit(0)), 2).alias("avg_score"))

@@ -212,3 +212,18 @@ def face_findings(matched: DataFrame, key: str = "case_id") -> DataFrame:
         F.struct(F.lit("info").alias("severity"), F.col("matches").alias("pairs")))
     return matched.select(F.col(key).alias("case_id"), F.lit("facial_photo").alias("field_name"),
                           F.explode(rows).alias("r")).select("case_id", "field_name", "r.*").filter("pairs > 0")
+
+
+_FACE_TEXT = {"high": "Photos show different people", "medium": "Photos are too unlike to be sure of one person",
+              "info": "Photos show the same person"}
+
+
+def face_rows(findings: DataFrame) -> DataFrame:
+    """Photo findings (case_id, severity, pairs) in the shape of consistency findings; ``pairs`` is what a row counts for."""
+    severity = F.col("severity")
+    words = F.when(severity == "high", _FACE_TEXT["high"]).when(severity == "medium", _FACE_TEXT["medium"]).otherwise(_FACE_TEXT["info"])
+    none = F.lit(0).cast("long")
+    return findings.select(
+        "case_id", F.lit("facial_photo").alias("field_name"), F.lit("").alias("type_key"), "severity",
+        none.alias("n_documents"), none.alias("n_clusters"),
+        F.concat(words, F.lit(" in "), F.col("pairs").cast("string"), F.lit(" pair(s) of documents.")).alias("explanation"), "pairs")

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dossier import policy
+from dossier.operators.analytics import counts_for
 from dossier.session import explode_present
 
 _FLAGS = ("forensic_high", "forensic_medium", "validation_fail", "expired", "mrz_fail", "mrz_pass", "reuse_hits")
@@ -31,7 +32,7 @@ def case_evidence(cases: DataFrame, docs: DataFrame, findings: DataFrame, forens
     def one(when: Column) -> Column:
         return F.coalesce(when, F.lit(False)).cast("long")
 
-    weight = F.col("pairs") if "pairs" in findings.columns else F.lit(1)
+    weight = counts_for(findings)
     by_kind = {}
     for kind in kinds:
         names = [f for f, k in policy.CONFLICT_FACTOR.items() if k == kind]
@@ -72,7 +73,7 @@ _WORDS = {
     "validation_fail_per_check": "Structural/logical validation check(s) failed.",
     "expired_document": "At least one submitted document is expired.",
     "mrz_checksum_fail": "MRZ checksum verification failed.",
-    "document_reuse": "This identity evidence was reused across submissions.",
+    "document_reuse": "This identity evidence was reused across submissions",
     "name_consistent": "Name consistent across documents.",
     "address_consistent": "Address consistent across documents.",
     "face_matched": "Facial photo consistent across documents.",
@@ -109,6 +110,8 @@ def risk_ledger(evidence: DataFrame, weights: Mapping[str, tuple[int, int | None
         detail = (F.when(n > used, F.concat(F.lit(" ("), n.cast("string"), F.lit(" occurrences, capped at "),
                                             used.cast("string"), F.lit(")")))
                   .when(used > 1, F.concat(F.lit(" ("), used.cast("string"), F.lit(" occurrences)"))).otherwise(""))
+        if factor == "document_reuse":  # applied once, and says how many matches stand behind it
+            detail = F.concat(F.lit(" ("), F.col("reuse_hits").cast("string"), F.lit(" match(es) found)."))
         return F.when(n > 0, F.struct(
             F.lit(factor).alias("factor"), n.cast("long").alias("occurrences"), used.cast("long").alias("applied"),
             (used * weight).cast("long").alias("score"), F.lit(direction).alias("direction"),

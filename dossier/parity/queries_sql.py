@@ -45,7 +45,7 @@ def label(col: str, pairs: dict[str, str], fallback: str | None = None) -> str:
 FIELD_LABELS = {
     "full_name": "Name", "date_of_birth": "Date of Birth", "document_number": "Document Number", "gender": "Gender",
     "nationality": "Nationality", "issue_date": "Date of Issue", "expiry_date": "Date of Expiry",
-    "address": "Address",
+    "address": "Address", "facial_photo": "Facial Photo",
 }
 PARSED = "coalesce(TRY_CAST({0} AS DATE), CAST(try_strptime({0}, '%d/%m/%Y') AS DATE))"
 AGE = ("(year({1}) - year({0}) - CASE WHEN month({1}) * 100 + day({1}) < month({0}) * 100 + day({0}) "
@@ -130,8 +130,27 @@ FROM b_docs d JOIN (SELECT file_hash, count(*) AS copies, min(document_id) AS fi
 SELECT case_id, document_id, 'Duplicate / reuse' AS check_type, 'warning' AS status,
        'Potential reuse detected — this document appears identical file (case #' || other_case_id || ')' ||
        CASE WHEN hits > 1 THEN ' and ' || (hits - 1) || ' more match(es).' ELSE '.' END AS message FROM q_reuse"""),
-    "q_validations": (("q_checks", "q_qr", "q_reuse_rows"), """
+    # a birth after the day of the screening is read as one a century earlier
+    "q_zones": (("b_printed",), f"""
+SELECT *, CASE WHEN year(dob_d) > year({AS_OF}) THEN CAST(TRY_CAST((year(dob_d) - 100) || strftime(dob_d, '-%m-%d') AS DATE) AS VARCHAR)
+       ELSE CAST(dob_d AS VARCHAR) END AS zone_dob FROM b_printed WHERE document_type = 'passport'"""),
+    "q_mrz": (("q_zones",), """
+SELECT case_id, document_id, doc_ord, check_type, status, message, coded FROM (
+ SELECT case_id, document_id, doc_ord, 'MRZ checksum' AS check_type, CASE WHEN l_tax < 0.02 THEN 'fail' ELSE 'pass' END AS status,
+        CASE WHEN l_tax < 0.02 THEN 'MRZ check digit failure(s): document_number.'
+             ELSE 'All MRZ check digits are structurally valid.' END AS message, CAST(NULL AS VARCHAR) AS coded
+ FROM q_zones p1
+ UNION ALL SELECT case_id, document_id, doc_ord, 'MRZ vs printed document number', 'pass',
+        'Document number matches MRZ (' || document_number || ').', document_number FROM q_zones p2
+ UNION ALL SELECT case_id, document_id, doc_ord, 'MRZ vs printed date of birth', CASE WHEN date_of_birth = zone_dob THEN 'pass' ELSE 'fail' END,
+        CASE WHEN date_of_birth = zone_dob THEN 'Date of birth matches MRZ (' || zone_dob || ').'
+             ELSE 'Mismatch: printed ' || date_of_birth || ' vs MRZ ' || zone_dob || '.' END, zone_dob
+ FROM q_zones p3 WHERE zone_dob IS NOT NULL
+ UNION ALL SELECT case_id, document_id, doc_ord, 'MRZ vs printed name', 'pass', 'Name consistent with MRZ (' || upper(p_name) || ').',
+        upper(p_name) FROM q_zones p4) t"""),
+    "q_validations": (("q_checks", "q_qr", "q_mrz", "q_reuse_rows"), """
 SELECT * FROM q_checks UNION ALL SELECT case_id, document_id, check_type, status, message FROM q_qr
+UNION ALL SELECT case_id, document_id, check_type, status, message FROM q_mrz
 UNION ALL SELECT * FROM q_reuse_rows"""),
     "q_status": (("b_docs", "b_fields", "q_validations"), """
 SELECT case_id, document_id, document_type, coalesce(n_fields, 0) AS n_fields, passed, failed, warned,
@@ -251,17 +270,41 @@ SELECT case_id, rule_id AS field_name, '' AS type_key, severity, CAST(0 AS BIGIN
        CAST(0 AS BIGINT) AS n_clusters, explanation
 FROM (SELECT * FROM q_rule_age UNION ALL SELECT * FROM q_rule_dates UNION ALL SELECT * FROM q_rule_pan) r
 WHERE status IN ('fail', 'warning')""")
-STEPS["q_all_findings"] = (("q_findings", "q_rule_rows"), "SELECT * FROM q_findings UNION ALL SELECT * FROM q_rule_rows")
-_F = ("sum(CASE WHEN severity IN ('medium', 'high') AND field_name IN ({0}) THEN 1 ELSE 0 END)")
+STEPS["q_pairs"] = ((), """
+SELECT case_id, least(100, greatest(0, round_even(c * 100, 0)))::INT AS score FROM (
+ SELECT a.vec_id // 8 AS case_id, list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) *
+        list_dot_product(b.e, b.e)) AS c
+ FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) a JOIN (SELECT vec_id, embedding::DOUBLE[] AS e
+       FROM embeddings) b ON a.vec_id // 8 = b.vec_id // 8 AND a.vec_id < b.vec_id) t""")
+STEPS["q_matched"] = (("q_pairs",), """
+SELECT case_id, n_vectors, coalesce(matches, 0) AS matches, coalesce(borderlines, 0) AS borderlines,
+       coalesce(mismatches, 0) AS mismatches, CASE WHEN n_vectors = 1 THEN 'single_face' WHEN mismatches > 0 THEN 'mismatch'
+       WHEN borderlines > 0 THEN 'borderline' ELSE 'match' END AS status
+FROM (SELECT vec_id // 8 AS case_id, count(*) AS n_vectors FROM embeddings GROUP BY 1) v
+LEFT JOIN (SELECT case_id, count(*) FILTER (score >= 35) AS matches, count(*) FILTER (score >= 20 AND score < 35) AS
+  borderlines, count(*) FILTER (score < 20) AS mismatches FROM q_pairs GROUP BY 1) p USING (case_id)""")
+STEPS["q_face_findings"] = (("q_matched",), """
+SELECT case_id, 'facial_photo' AS field_name, 'high' AS severity, mismatches AS pairs FROM q_matched WHERE mismatches > 0
+UNION ALL SELECT case_id, 'facial_photo', 'medium', borderlines FROM q_matched WHERE borderlines > 0
+UNION ALL SELECT case_id, 'facial_photo', 'info', matches FROM q_matched WHERE matches > 0""")
+STEPS["q_face_rows"] = (("q_face_findings", "b_cases"), """
+SELECT case_id, field_name, '' AS type_key, severity, CAST(0 AS BIGINT) AS n_documents, CAST(0 AS BIGINT) AS n_clusters,
+       CASE severity WHEN 'high' THEN 'Photos show different people' WHEN 'medium' THEN
+         'Photos are too unlike to be sure of one person' ELSE 'Photos show the same person' END || ' in ' || pairs ||
+       ' pair(s) of documents.' AS explanation, pairs
+FROM q_face_findings WHERE case_id IN (SELECT case_id FROM b_cases)""")
+STEPS["q_all_findings"] = (("q_findings", "q_rule_rows", "q_face_rows"), """
+SELECT *, CAST(1 AS BIGINT) AS pairs FROM q_findings UNION ALL SELECT *, 1 FROM q_rule_rows UNION ALL SELECT * FROM q_face_rows""")
+_F = ("sum(CASE WHEN severity IN ('medium', 'high') AND field_name IN ({0}) THEN pairs ELSE 0 END)")
 STEPS["q_evidence"] = (("b_cases", "b_docs", "b_fields", "b_forensics", "q_all_findings", "q_validations"), f"""
 SELECT c.case_id, coalesce(address_mismatch, 0)::BIGINT AS address_mismatch, coalesce(dob_mismatch, 0)::BIGINT AS
        dob_mismatch, coalesce(document_number_mismatch, 0)::BIGINT AS document_number_mismatch,
-       0::BIGINT AS face_mismatch, coalesce(gender_nationality_mismatch, 0)::BIGINT AS gender_nationality_mismatch,
+       coalesce(face_mismatch, 0)::BIGINT AS face_mismatch, coalesce(gender_nationality_mismatch, 0)::BIGINT AS gender_nationality_mismatch,
        coalesce(name_mismatch, 0)::BIGINT AS name_mismatch, coalesce(fh, 0)::BIGINT AS forensic_high,
        coalesce(fm, 0)::BIGINT AS forensic_medium, coalesce(vf, 0)::BIGINT AS validation_fail,
-       coalesce(ve, 0)::BIGINT AS expired, 0::BIGINT AS mrz_fail, 0::BIGINT AS mrz_pass,
+       coalesce(ve, 0)::BIGINT AS expired, coalesce(zf, 0)::BIGINT AS mrz_fail, coalesce(zp, 0)::BIGINT AS mrz_pass,
        coalesce(vr, 0)::BIGINT AS reuse_hits, coalesce(name_info, 0)::BIGINT AS name_info,
-       coalesce(address_info, 0)::BIGINT AS address_info, 0::BIGINT AS face_info, coalesce(vn, 0)::BIGINT AS checks,
+       coalesce(address_info, 0)::BIGINT AS address_info, coalesce(face_info, 0)::BIGINT AS face_info, coalesce(vn, 0)::BIGINT AS checks,
        coalesce(vok, 0)::BIGINT AS checks_ok, coalesce(nf, 0)::BIGINT AS n_fields, coalesce(nr, 0)::BIGINT AS n_read,
        coalesce(nd, 0)::BIGINT AS n_docs
 FROM b_cases c
@@ -269,6 +312,8 @@ LEFT JOIN (SELECT case_id, {_F.format("'address'")} AS address_mismatch,
                   {_F.format("'date_of_birth', 'RULE-AGE-001'")} AS dob_mismatch,
                   {_F.format("'document_number', 'RULE-CHRONO-001'")} AS document_number_mismatch,
                   {_F.format("'gender', 'nationality'")} AS gender_nationality_mismatch,
+                  {_F.format("'facial_photo'")} AS face_mismatch,
+                  count(*) FILTER (severity = 'info' AND field_name = 'facial_photo') AS face_info,
                   {_F.format("'full_name', 'RULE-PAN-001'")} AS name_mismatch,
                   count(*) FILTER (severity = 'info' AND field_name = 'full_name') AS name_info,
                   count(*) FILTER (severity = 'info' AND field_name = 'address') AS address_info
@@ -277,6 +322,8 @@ LEFT JOIN (SELECT case_id, count(*) FILTER (severity = 'high') AS fh, count(*) F
            FROM b_forensics GROUP BY 1) x USING (case_id)
 LEFT JOIN (SELECT case_id, count(*) FILTER (status = 'fail') AS vf,
                   count(*) FILTER (check_type = 'Expiration status' AND status = 'warning') AS ve,
+                  count(*) FILTER (check_type = 'MRZ checksum' AND status = 'fail') AS zf,
+                  count(*) FILTER (check_type = 'MRZ checksum' AND status = 'pass') AS zp,
                   count(*) FILTER (check_type = 'Duplicate / reuse') AS vr, count(*) AS vn,
                   count(*) FILTER (status IN ('pass', 'unavailable')) AS vok
            FROM q_validations GROUP BY 1) v USING (case_id)
@@ -292,23 +339,29 @@ _FACTORS = [  # factor, occurrences, cap, weight, words
     ("address_mismatch", "address_mismatch", None, 15, "Cross-document conflict detected in address."),
     ("gender_nationality_mismatch", "gender_nationality_mismatch", None, 15,
      "Cross-document conflict detected in gender or nationality."),
+    ("face_mismatch", "face_mismatch", None, 35, "Cross-document conflict detected in facial photo."),
     ("forensic_high", "forensic_high", 1, 25, "High-suspicion visual tampering indicator(s)."),
     ("forensic_medium", "forensic_medium", 2, 12, "Visual tampering indicator(s) detected."),
     ("validation_fail_per_check", "validation_fail", 18, 6, "Structural/logical validation check(s) failed."),
     ("expired_document", "least(expired, 1)", 1, 10, "At least one submitted document is expired."),
-    ("document_reuse", "least(reuse_hits, 1)", 1, 30, "This identity evidence was reused across submissions."),
+    ("mrz_checksum_fail", "least(mrz_fail, 1)", 1, 20, "MRZ checksum verification failed."),
+    ("document_reuse", "least(reuse_hits, 1)", 1, 30, "This identity evidence was reused across submissions"),
 ]
-_GATE = ("dob_mismatch + name_mismatch + document_number_mismatch + address_mismatch + gender_nationality_mismatch"
+_GATE = ("face_mismatch + dob_mismatch + name_mismatch + document_number_mismatch + address_mismatch + gender_nationality_mismatch"
          " + forensic_high + reuse_hits = 0")
 _CUTS = [
     ("name_consistent", "name_info > 0", "Name consistent across documents."),
     ("address_consistent", "address_info > 0", "Address consistent across documents."),
+    ("face_matched", "face_info > 0", "Facial photo consistent across documents."),
+    ("mrz_valid", "mrz_pass > 0", "MRZ checksums verified successfully."),
     ("all_validations_pass", "checks > 0 AND checks = checks_ok", "All document validation checks passed."),
 ]
 
 
 def _factor(name: str, n: str, cap: int | None, weight: int, words: str) -> str:
     used = f"least({n}, {cap})" if cap else n
+    if name == "document_reuse":
+        words += " (' || reuse_hits || ' match(es) found)."
     return (f"SELECT case_id, '{name}' AS factor, CAST({n} AS BIGINT) AS occurrences, CAST({used} AS BIGINT) AS applied,"
             f" CAST({used} * {weight} AS BIGINT) AS score, 'increase' AS direction, '{words}' || CASE WHEN {n} > {used} "
             f"THEN ' (' || {n} || ' occurrences, capped at ' || {used} || ')' WHEN {used} > 1 THEN ' (' || {used} || "
@@ -549,12 +602,13 @@ SELECT stage_key, CAST(floor(avg(duration_ms)) AS BIGINT) AS avg_duration_ms, mi
        max(duration_ms) AS max_duration_ms, upper(stage_key[1]) || stage_key[2:] AS stage_label
 FROM b_stages WHERE duration_ms > 0 GROUP BY stage_key""")
 SQL["stage_latency"] = "SELECT * FROM q_latency"
-STEPS["q_kpis"] = (("b_cases", "b_docs", "q_latency"), """
+STEPS["q_kpis"] = (("b_cases", "b_docs", "q_latency", "q_face_rows"), """
 SELECT *, round_even(valid_count / total_cases * 100, 1) AS pass_rate,
        round_even(review_count / total_cases * 100, 1) AS review_rate,
        round_even(high_risk_count / total_cases * 100, 1) AS high_risk_rate,
-       (SELECT count(*) FROM b_docs) AS total_documents, CAST(0 AS BIGINT) AS face_checks,
-       CAST(0 AS DOUBLE) AS face_mismatch_rate,
+       (SELECT count(*) FROM b_docs) AS total_documents, (SELECT coalesce(sum(pairs), 0)::BIGINT FROM q_face_rows) AS face_checks,
+       (SELECT coalesce(round_even(sum(pairs) FILTER (severity <> 'info') / nullif(sum(pairs), 0) * 100, 1), 0)::DOUBLE FROM q_face_rows)
+         AS face_mismatch_rate,
        CAST((SELECT sum(avg_duration_ms) FROM q_latency) AS BIGINT) AS avg_processing_time_ms
 FROM (SELECT count(*) AS total_cases, count(*) FILTER (recommendation = 'verification_passed') AS valid_count,
   count(*) FILTER (recommendation IN ('review_recommended', 'unable_to_verify')) AS review_count,
@@ -592,7 +646,7 @@ LEFT JOIN (SELECT CASE WHEN coalesce(overall_risk, 10) <= 20 THEN 0 WHEN coalesc
 STEPS["q_ranking"] = (("q_all_findings",), f"""
 SELECT field_name, coalesce(n, 0) AS count, coalesce(info, 0) AS info, coalesce(low, 0) AS low,
        coalesce(medium, 0) AS medium, coalesce(high, 0) AS high,
-       round_even(coalesce(n, 0) / greatest(1, (SELECT count(*) FROM q_all_findings)) * 100, 1) AS percentage,
+       round_even(coalesce(n, 0) / greatest(1, (SELECT sum(pairs) FROM q_all_findings)) * 100, 1) AS percentage,
        {label('field_name', {'date_of_birth': 'Date of Birth (DOB)', 'full_name': 'Full Legal Name',
                              'facial_photo': 'Facial Biometrics', 'document_number': 'Document / ID Number',
                              'address': 'Residential Address', 'gender': 'Gender / Sex', 'nationality': 'Nationality',
@@ -600,9 +654,9 @@ SELECT field_name, coalesce(n, 0) AS count, coalesce(info, 0) AS info, coalesce(
               "field_name[1] || lower(field_name[2:])")} AS label
 FROM (SELECT unnest(['date_of_birth', 'full_name', 'facial_photo', 'document_number', 'address', 'gender',
                      'nationality']) AS field_name) d
-FULL JOIN (SELECT field_name, count(*) AS n, count(*) FILTER (severity = 'info') AS info,
-   count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'medium') AS medium,
-   count(*) FILTER (severity = 'high') AS high FROM q_all_findings GROUP BY 1) f USING (field_name)""")
+FULL JOIN (SELECT field_name, sum(pairs)::BIGINT AS n, (sum(pairs) FILTER (severity = 'info'))::BIGINT AS info,
+   (sum(pairs) FILTER (severity = 'low'))::BIGINT AS low, (sum(pairs) FILTER (severity = 'medium'))::BIGINT AS medium,
+   (sum(pairs) FILTER (severity = 'high'))::BIGINT AS high FROM q_all_findings GROUP BY 1) f USING (field_name)""")
 SQL["discrepancy_ranking"] = "SELECT * FROM q_ranking"
 SQL["document_type_mix"] = f"""
 SELECT document_type, {label('document_type', {'passport': 'Passport (ICAO TD3)', 'national_id':
@@ -613,12 +667,13 @@ SELECT document_type, {label('document_type', {'passport': 'Passport (ICAO TD3)'
        round_even(avg(confidence), 2) AS avg_confidence
 FROM q_status JOIN (SELECT document_id, confidence FROM b_docs) d USING (document_id)
 WHERE document_type <> 'voter_id' GROUP BY 1"""
-STEPS["q_signal_hits"] = (("b_forensics", "q_validations", "b_printed"), """
-SELECT case_id, CASE finding_type WHEN 'copy_move_anomaly' THEN 'copy_move_cloning' ELSE finding_type END AS k, score
+STEPS["q_signal_hits"] = (("b_forensics", "q_validations", "q_face_rows"), """
+SELECT case_id, 1 AS w, CASE finding_type WHEN 'copy_move_anomaly' THEN 'copy_move_cloning' ELSE finding_type END AS k, score
 FROM b_forensics WHERE finding_type <> 'metadata_tamper_indicator'
-UNION ALL SELECT case_id, 'qr_barcode_conflict', NULL FROM q_validations
+UNION ALL SELECT case_id, 1, 'qr_barcode_conflict', NULL FROM q_validations
 WHERE status = 'fail' AND check_type LIKE 'QR payload%'
-UNION ALL SELECT case_id, 'mrz_checksum_error', NULL FROM b_printed WHERE document_type = 'passport' AND l_tax < 0.02""")
+UNION ALL SELECT case_id, pairs, 'facial_photo_mismatch', NULL FROM q_face_rows WHERE severity <> 'info'
+UNION ALL SELECT case_id, 1, 'mrz_checksum_error', NULL FROM q_validations WHERE status = 'fail' AND check_type = 'MRZ checksum'""")
 SQL["signal_rates"] = """
 SELECT k AS signal_key, label, category, coalesce(n, 0) AS detected_count, coalesce(c, 0) AS cases,
        round_even(coalesce(c, 0) / (SELECT count(*) FROM b_cases) * 100, 1) AS rate_percent, s AS avg_score
@@ -628,7 +683,7 @@ FROM (VALUES ('copy_move_cloning', 'Copy-Move / Stamp Cloning', 'tampering'),
  ('qr_barcode_conflict', 'QR Payload Discrepancy', 'validation'),
  ('mrz_checksum_error', 'MRZ Check Digit Inconsistency', 'security_feature'),
  ('noise_gradient_anomaly', 'Noise Residual & Font Splicing', 'tampering')) d(k, label, category)
-LEFT JOIN (SELECT k, count(*) AS n, count(DISTINCT case_id) AS c, round_even(avg(score), 2) AS s FROM q_signal_hits
+LEFT JOIN (SELECT k, sum(w)::BIGINT AS n, count(DISTINCT case_id) AS c, round_even(avg(score), 2) AS s FROM q_signal_hits
            GROUP BY 1) h USING (k)"""
 SQL["stage_rollup"] = """
 SELECT case_id, count(*) FILTER (e = 'done') AS done, count(*) FILTER (e = 'warning') AS warning,
@@ -646,6 +701,10 @@ SELECT CASE WHEN pass_rate >= 80 THEN 'quality_high' ELSE 'review_alert' END AS
        CASE WHEN pass_rate >= 80 THEN 'info' ELSE 'high' END AS importance FROM q_kpis
 UNION ALL SELECT 'top_mismatch', 'trend', label || ': ' || count || ' occurrences', 'medium'
 FROM (SELECT * FROM q_ranking ORDER BY count DESC, field_name LIMIT 1) r
+UNION ALL SELECT 'biometric_integrity', CASE WHEN rate > 5 THEN 'risk_alert' ELSE 'quality' END, rate || '% mismatch rate',
+  CASE WHEN rate > 5 THEN 'high' ELSE 'info' END
+FROM (SELECT round_even(count(DISTINCT case_id) / (SELECT count(*) FROM b_cases) * 100, 1) AS rate FROM q_face_rows
+  WHERE severity <> 'info') r WHERE rate > 0
 UNION ALL SELECT 'latency_perf', 'performance', round_even(avg_processing_time_ms / 1000, 2) || 's / case', 'info'
 FROM q_kpis"""
 SQL["case_numbers"] = """
@@ -740,7 +799,7 @@ STEPS["q_printed_text"] = (("b_fields",), """
 SELECT case_id, field_name, arg_min(value, (doc_ord, document_id)) AS ocr_value,
        round_even(avg(confidence), 1) AS ocr_confidence, count(*) AS n_documents
 FROM b_fields WHERE field_name IN ('full_name', 'date_of_birth', 'document_number', 'address', 'gender') GROUP BY 1, 2""")
-STEPS["q_sources"] = (("b_fields", "q_printed_text", "q_qr"), f"""
+STEPS["q_sources"] = (("b_fields", "q_printed_text", "q_qr", "q_mrz"), f"""
 SELECT case_id, field_name, form, any_value(toks) AS toks, sum(w) AS n, min(pos) AS pos FROM (
  SELECT *, {_FORM} AS form, {_TOKS} AS toks FROM (
   SELECT case_id, field_name, value, 1 AS w,
@@ -751,7 +810,11 @@ SELECT case_id, field_name, form, any_value(toks) AS toks, sum(w) AS n, min(pos)
   UNION ALL SELECT case_id, field_name, v, 1, {{'r': 1, 'o': 0, 'd': '', 's': 'Digital QR', 'v': v}} FROM (
    SELECT case_id, CASE check_type WHEN 'QR payload vs document number' THEN 'document_number'
           WHEN 'QR payload vs name' THEN 'full_name' ELSE 'date_of_birth' END AS field_name,
-          arg_min(coded, (doc_ord, document_id)) AS v FROM q_qr GROUP BY 1, 2) q) s) t
+          arg_min(coded, (doc_ord, document_id)) AS v FROM q_qr GROUP BY 1, 2) q
+  UNION ALL SELECT case_id, field_name, v, 1, {{'r': 2, 'o': 0, 'd': '', 's': 'Passport MRZ', 'v': v}} FROM (
+   SELECT case_id, CASE check_type WHEN 'MRZ vs printed document number' THEN 'document_number'
+          WHEN 'MRZ vs printed name' THEN 'full_name' ELSE 'date_of_birth' END AS field_name,
+          arg_min(coded, (doc_ord, document_id)) AS v FROM q_mrz WHERE coded IS NOT NULL GROUP BY 1, 2) z) s) t
 GROUP BY 1, 2, 3""")
 STEPS.update(leaders("q_sources", "q_s", "case_id, field_name"))
 STEPS["q_fusion"] = (("q_sclusters", "q_printed_text"), f"""
@@ -833,17 +896,7 @@ SELECT document_id, CASE WHEN l_tax < 0.02 THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END
        CAST(expiry_d AS VARCHAR) AS expiry, CAST(l_suppkey AS VARCHAR) AS personal_number,
        l_tax >= 0.02 AS document_number_ok, true AS date_of_birth_ok, true AS expiry_date_ok, true AS personal_number_ok,
        true AS composite_ok FROM b_printed WHERE document_type = 'passport'"""
-SQL["mrz_compare"] = """
-SELECT document_id, 'MRZ checksum' AS check_type, CASE WHEN l_tax < 0.02 THEN 'fail' ELSE 'pass' END AS status,
-       CASE WHEN l_tax < 0.02 THEN 'MRZ check digit failure(s): document_number.'
-            ELSE 'All MRZ check digits are structurally valid.' END AS message FROM b_printed WHERE document_type = 'passport'
-UNION ALL SELECT document_id, 'MRZ vs printed document number', 'pass',
-       'Document number matches MRZ (' || document_number || ').' FROM b_printed WHERE document_type = 'passport'
-UNION ALL SELECT document_id, 'MRZ vs printed date of birth', CASE WHEN doc_ord % 2 = 0 THEN 'fail' ELSE 'pass' END,
-       CASE WHEN doc_ord % 2 = 0 THEN 'Mismatch: printed ' || date_of_birth || ' vs MRZ ' || dob_d || '.'
-            ELSE 'Date of birth matches MRZ (' || dob_d || ').' END FROM b_printed WHERE document_type = 'passport'
-UNION ALL SELECT document_id, 'MRZ vs printed name', 'pass', 'Name consistent with MRZ (' || upper(p_name) || ').'
-FROM b_printed WHERE document_type = 'passport'"""
+SQL["mrz_compare"] = "SELECT document_id, check_type, status, message FROM q_mrz"
 SQL["qr_compare"] = "SELECT document_id, check_type, status, message FROM q_qr"
 SQL["extract_fields"] = """
 SELECT document_id, field_name, normalized_value, CASE WHEN field_name = 'nationality' THEN 95.0::DOUBLE
@@ -911,24 +964,8 @@ SELECT a.doc_id AS document_a, b.doc_id AS document_b, a.n AS copies_a, b.n AS c
        CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS INT) AS distance
 FROM g a JOIN g b ON (a.shi, a.lo) < (b.shi, b.lo)
 WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 8"""
-STEPS["q_pairs"] = ((), """
-SELECT case_id, least(100, greatest(0, round_even(c * 100, 0)))::INT AS score FROM (
- SELECT a.vec_id // 8 AS case_id, list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) *
-        list_dot_product(b.e, b.e)) AS c
- FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) a JOIN (SELECT vec_id, embedding::DOUBLE[] AS e
-       FROM embeddings) b ON a.vec_id // 8 = b.vec_id // 8 AND a.vec_id < b.vec_id) t""")
-STEPS["q_matched"] = (("q_pairs",), """
-SELECT case_id, n_vectors, coalesce(matches, 0) AS matches, coalesce(borderlines, 0) AS borderlines,
-       coalesce(mismatches, 0) AS mismatches, CASE WHEN n_vectors = 1 THEN 'single_face' WHEN mismatches > 0 THEN 'mismatch'
-       WHEN borderlines > 0 THEN 'borderline' ELSE 'match' END AS status
-FROM (SELECT vec_id // 8 AS case_id, count(*) AS n_vectors FROM embeddings GROUP BY 1) v
-LEFT JOIN (SELECT case_id, count(*) FILTER (score >= 35) AS matches, count(*) FILTER (score >= 20 AND score < 35) AS
-  borderlines, count(*) FILTER (score < 20) AS mismatches FROM q_pairs GROUP BY 1) p USING (case_id)""")
 SQL["feature_match"] = "SELECT * FROM q_matched"
-SQL["face_findings"] = """
-SELECT case_id, 'facial_photo' AS field_name, 'high' AS severity, mismatches AS pairs FROM q_matched WHERE mismatches > 0
-UNION ALL SELECT case_id, 'facial_photo', 'medium', borderlines FROM q_matched WHERE borderlines > 0
-UNION ALL SELECT case_id, 'facial_photo', 'info', matches FROM q_matched WHERE matches > 0"""
+SQL["face_findings"] = "SELECT * FROM q_face_findings"
 
 # ---- image figures -----------------------------------------------------------------------------------------------
 FIGURES = """(SELECT document_id, l_quantity * 4 AS sharpness, l_partkey % 1400 + 300 AS width,
@@ -998,11 +1035,13 @@ SQL["risk_bands"] = f"""
 SELECT CASE WHEN overall_risk IS NOT NULL THEN {_BAND.format('overall_risk')} END AS band, recommendation,
        count(*) AS cases FROM b_cases GROUP BY 1, 2"""
 STEPS["q_modules"] = (("b_docs", "q_all_findings", "b_forensics", "q_validations"), """
-SELECT d.*, coalesce(hard, 0) AS hard, coalesce(cons, 0) AS cons, coalesce(flagged, 0) AS flagged,
+SELECT d.*, coalesce(fhard, 0) AS fhard, coalesce(fsame, 0) AS fsame, coalesce(hard, 0) AS hard, coalesce(cons, 0) AS cons, coalesce(flagged, 0) AS flagged,
        coalesce(fails, 0) AS fails, coalesce(warns, 0) AS warns, coalesce(reused, 0) AS reused
 FROM (SELECT case_id, count(*) AS docs, count(*) FILTER (l_linestatus = 'F') AS readable FROM b_docs GROUP BY 1) d
 LEFT JOIN (SELECT case_id, count(*) FILTER (severity IN ('medium', 'high')) AS hard, count(*) FILTER (severity = 'info')
-  AS cons FROM q_all_findings GROUP BY 1) f USING (case_id)
+  AS cons, count(*) FILTER (field_name = 'facial_photo' AND severity IN ('medium', 'high')) AS fhard,
+  count(*) FILTER (field_name = 'facial_photo' AND severity = 'info') AS fsame
+  FROM q_all_findings GROUP BY 1) f USING (case_id)
 LEFT JOIN (SELECT case_id, count(DISTINCT document_id) AS flagged FROM b_forensics WHERE severity IN ('medium', 'high')
   GROUP BY 1) x USING (case_id)
 LEFT JOIN (SELECT case_id, count(*) FILTER (status = 'fail') AS fails, count(*) FILTER (status = 'warning') AS warns,
@@ -1017,6 +1056,9 @@ UNION ALL SELECT case_id, 'Document validation & MRZ', CASE WHEN fails > 0 THEN
   ELSE 'passed' END, fails || ' failed, ' || warns || ' warning check(s)' FROM q_modules
 UNION ALL SELECT case_id, 'Reuse / duplicate scan', CASE WHEN reused > 0 THEN 'reuse_detected' ELSE 'clear' END,
   CASE WHEN reused > 0 THEN reused || ' document(s) matched earlier submissions' ELSE 'No earlier matches' END FROM q_modules
+UNION ALL SELECT case_id, 'Facial cross-matching', CASE WHEN fhard > 0 THEN 'mismatch' ELSE 'matched' END,
+  CASE WHEN fhard > 0 THEN fhard || ' photo mismatch detected across documents' ELSE
+  'Consistent facial photos across 0 documents' END FROM q_modules WHERE fhard + fsame > 0
 UNION ALL SELECT case_id, 'OCR extraction', CASE WHEN readable = docs THEN 'ok' WHEN readable > 0 THEN 'partial' ELSE
   'unavailable' END, readable || '/' || docs || ' document(s)' FROM q_modules
 UNION ALL SELECT case_id, 'Face verification', 'unavailable',
@@ -1029,6 +1071,8 @@ UNION ALL SELECT case_id, 2, CASE severity WHEN 'high' THEN 'error' ELSE 'warnin
 UNION ALL SELECT case_id, 3, 'error', message FROM q_validations WHERE status = 'fail'
 UNION ALL SELECT case_id, 3, 'warning', message FROM q_validations WHERE status = 'warning' AND check_type IN
   ('Expiration status', 'Duplicate / reuse', 'QR payload vs name')
+UNION ALL SELECT DISTINCT case_id, 4, 'success', 'MRZ checksum verification passed.' FROM q_validations
+  WHERE check_type = 'MRZ checksum' AND status = 'pass'
 UNION ALL SELECT case_id, 5, 'success', explanation FROM q_all_findings WHERE severity = 'info'"""
 SQL["report_fields"] = f"""
 SELECT document_id, CASE field_name WHEN 'full_name' THEN 0 WHEN 'document_number' THEN 1 WHEN 'date_of_birth' THEN 2
@@ -1112,7 +1156,7 @@ def _routes() -> None:
     SQL["case_intents"] = f"""
 SELECT CASE category WHEN 'forensics' THEN CASE WHEN forensic_high + forensic_medium > 0 THEN 'forensics_flagged' ELSE
   'forensics_clean' END WHEN 'comparison' THEN CASE WHEN dob_mismatch + name_mismatch + document_number_mismatch +
-  address_mismatch + gender_nationality_mismatch > 0 THEN 'comparison_mismatch' ELSE 'comparison_clean' END
+  address_mismatch + gender_nationality_mismatch + face_mismatch > 0 THEN 'comparison_mismatch' ELSE 'comparison_clean' END
   WHEN 'documents' THEN CASE WHEN n_docs > 0 THEN 'documents_list' ELSE 'documents_empty' END
   WHEN 'review' THEN 'review_pending' ELSE category END AS category, action, count(*) AS turns
 FROM ({routed(CASE_INTENTS, 'general_overview')}) r LEFT JOIN q_evidence ON case_id = conv_id GROUP BY 1, 2"""

@@ -16,17 +16,20 @@ _CHECKS = ["case_id", "document_id", "check_type", "status", "message"]
 
 
 class Screening:
-    """Lazily built results over documents, fields, image findings, code payloads and text lines."""
+    """Lazily built results over documents, fields, image findings, code payloads, text lines and photo findings.
+
+    ``faces`` (case_id, severity, pairs) are the outcomes of the vector comparison (``reuse.face_findings``).
+    """
 
     def __init__(self, cases: DataFrame, docs: DataFrame, fields: DataFrame, as_of: Column,
                  forensics: DataFrame | None = None, payloads: DataFrame | None = None,
-                 lines: DataFrame | None = None):
+                 lines: DataFrame | None = None, faces: DataFrame | None = None):
         spark = cases.sparkSession
         self.cases, self.docs, self.fields, self.as_of = cases, docs, fields, as_of
         self.forensics = forensics if forensics is not None else spark.createDataFrame(
             [], "case_id bigint, document_id string, file_name string, region string, finding_type string, "
                 "score double, severity string")
-        self.payloads, self.lines = payloads, lines
+        self.payloads, self.lines, self.faces = payloads, lines, faces
 
     @cached_property
     def wide(self) -> DataFrame:
@@ -78,9 +81,19 @@ class Screening:
             rows = rows.unionByName(more)
         return rows
 
+    @cached_property
+    def face_rows(self) -> DataFrame:
+        """Photo findings of the cases in the shape of consistency findings."""
+        if self.faces is None:
+            empty = "case_id bigint, severity string, pairs bigint"
+            return reuse.face_rows(self.cases.sparkSession.createDataFrame([], empty))
+        return reuse.face_rows(self.faces.join(self.cases.select("case_id"), "case_id", "left_semi"))
+
     @cached_property
     def findings(self) -> DataFrame:
-        return agreement.consistency(self.clustered).unionByName(rules.rule_findings(self.rule_results))
+        """Conflicts and agreements of fields, failed rules and photo findings; ``pairs`` is what a row counts for."""
+        rows = agreement.consistency(self.clustered).unionByName(rules.rule_findings(self.rule_results))
+        return rows.withColumn("pairs", F.lit(1).cast("long")).unionByName(self.face_rows)
 
     @cached_property
     def findings_table(self) -> DataFrame:

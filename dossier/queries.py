@@ -30,10 +30,18 @@ def iso(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("string") for n in names})
 
 
-def screened(b: Bindings, coded: bool = True, lines: bool = False) -> Screening:
+def _vectors(b: Bindings) -> DataFrame:
+    return b.raw("embeddings").select(F.floor(F.col("vec_id") / 8).alias("case_id"), "vec_id", "embedding")
+
+
+def _face_findings(b: Bindings) -> DataFrame:
+    return reuse.face_findings(reuse.feature_match(_vectors(b), match=35, borderline=20))
+
+
+def screened(b: Bindings) -> Screening:
+    """The screening over all evidence: documents, fields, image findings, codes, machine zones and photos."""
     docs = b.docs.withColumn("ocr_mean_confidence", F.when(F.col("l_linestatus") == "F", F.col("confidence")))
-    return Screening(b.cases, docs, b.fields, as_of(), b.forensics, b.payloads if coded else None,
-                     b.lines if lines else None)
+    return Screening(b.cases, docs, b.fields, as_of(), b.forensics, b.payloads, b.lines, _face_findings(b))
 
 
 # ---- scans, sources, sinks --------------------------------------------------------------
@@ -354,8 +362,7 @@ def dashboard_summary(b: Bindings) -> DataFrame:
 
 @query
 def analytics_kpis(b: Bindings) -> DataFrame:
-    s = screened(b, coded=False)
-    return analytics.kpis(b.cases, b.docs, agreement.consistency(s.clustered), b.stages)
+    return analytics.kpis(b.cases, b.docs, screened(b).face_rows, b.stages)
 
 
 @query
@@ -375,7 +382,7 @@ def risk_distribution(b: Bindings) -> DataFrame:
 
 @query
 def discrepancy_ranking(b: Bindings) -> DataFrame:
-    s = screened(b, coded=False)
+    s = screened(b)
     return analytics.discrepancy_ranking(s.findings)
 
 
@@ -386,7 +393,7 @@ def document_type_mix(b: Bindings) -> DataFrame:
 
 @query
 def signal_rates(b: Bindings) -> DataFrame:
-    s = screened(b, lines=True)
+    s = screened(b)
     return analytics.signal_rates(s.findings_table, b.forensics, s.validations_table, b.cases)
 
 
@@ -410,7 +417,7 @@ def stage_rollup(b: Bindings) -> DataFrame:
 
 @query
 def insights(b: Bindings) -> DataFrame:
-    s = screened(b, coded=False)
+    s = screened(b)
     figures = analytics.kpis(b.cases, b.docs, s.findings_table, b.stages)
     return analytics.insights(figures, analytics.discrepancy_ranking(s.findings_table), analytics.signal_rates(
         s.findings_table, b.forensics, s.validations_table, b.cases))
@@ -610,7 +617,7 @@ def mrz_parse(b: Bindings) -> DataFrame:
 
 @query
 def mrz_compare(b: Bindings) -> DataFrame:
-    zones = cut(validation.mrz_parse(b.lines, F.lit(EVENTS_AS_OF).cast("date")))
+    zones = cut(validation.mrz_parse(b.lines, as_of()))
     return validation.mrz_compare(zones, validation.by_document(b.docs, b.fields)).select("document_id", "check_type", "status", "message")
 
 
@@ -691,10 +698,6 @@ def near_reuse(b: Bindings) -> DataFrame:
         "document_a", "document_b", "copies_a", "copies_b", F.col("distance").cast("int").alias("distance"))
 
 
-def _vectors(b: Bindings) -> DataFrame:
-    return b.raw("embeddings").select(F.floor(F.col("vec_id") / 8).alias("case_id"), "vec_id", "embedding")
-
-
 @query
 def feature_match(b: Bindings) -> DataFrame:
     return reuse.feature_match(_vectors(b), match=35, borderline=20)
@@ -702,7 +705,7 @@ def feature_match(b: Bindings) -> DataFrame:
 
 @query
 def face_findings(b: Bindings) -> DataFrame:
-    return reuse.face_findings(reuse.feature_match(_vectors(b), match=35, borderline=20))
+    return _face_findings(b)
 
 
 # ---- image figures ----------------------------------------------------------------------------------
