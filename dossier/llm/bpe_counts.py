@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 BLANK = "▁"  # stands for a space in the pieces
-_KEPT_RUNS, _KEPT_CHARS = 1 << 17, 48  # what a worker remembers: speed only, no result depends on it
+_KEPT_RUNS, _KEPT_CHARS = 1 << 19, 48  # what a worker remembers: speed only, no result depends on it
 
 
 class Merger:
@@ -29,6 +29,7 @@ class Merger:
 
     def __init__(self, costs: dict[str, float]):
         self.costs = costs
+        self.known = frozenset(p for p in costs if len(p) == 1)
         longer = [p for p in costs if len(p) > 1]
         self.pairs = {p[k:k + 2] for p in longer for k in range(len(p) - 1)}
         inside = set("".join(longer))
@@ -37,7 +38,7 @@ class Merger:
             self.pattern = re.compile(f"[^{alone}]+|[{alone}]" if alone else ".+", re.S)
         else:
             self.pattern = re.compile(f"{BLANK}*[^{BLANK}{alone}]+|{BLANK}+" + (f"|[{alone}]" if alone else ""))
-        self.remembered = lru_cache(_KEPT_RUNS)(self.of_part)
+        self.remembered = lru_cache(_KEPT_RUNS)(self.of_run)
 
     def of_run(self, run: str) -> int:
         """Tokens of a run: the heap and the linked list."""
@@ -63,8 +64,9 @@ class Merger:
                 whole = a - leader + both
                 if (cost := costs.get(run[leader:a + both])) is not None:
                     heappush(heap, (cost, leader, a, whole))
-        unknown = sum(len(c.encode()) - 1 for k, c in enumerate(run) if length[k] == 1 and c not in costs)
-        return end - merges + unknown
+        if self.known.issuperset(run):
+            return end - merges
+        return end - merges + sum(len(c.encode()) - 1 for k, c in enumerate(run) if length[k] == 1 and c not in costs)
 
     def of_part(self, part: str) -> int:
         """Tokens of a part of a text: its runs, cut where no piece holds both characters."""
