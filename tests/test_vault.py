@@ -196,8 +196,10 @@ def lockout_loop(events):
 def test_lockouts_equal_loop(spark):
     start = dt.datetime(2024, 1, 1)
     events = [(u, u * 100 + i, start + dt.timedelta(minutes=i), i % 9 == 8) for u in (1, 2) for i in range(40)]
+    # outcomes come out once the watermark has passed them; one attempt hours later passes it over all before
+    later = [(3, 999, start + dt.timedelta(hours=5), False)]
     place = tempfile.mkdtemp()
-    spark.createDataFrame(events, "user_id long, event_id long, ts timestamp, success boolean").write.parquet(place + "/in")
+    spark.createDataFrame(events + later, "user_id long, event_id long, ts timestamp, success boolean").write.parquet(place + "/in")
     stream = spark.readStream.schema("user_id long, event_id long, ts timestamp, success boolean").parquet(place + "/in")
     rows = jobs.run_available(jobs.lockouts(stream), place + "/out", place + "/cp").collect()
     assert {r.event_id: r.outcome for r in rows} == lockout_loop(events) and not any(r.late for r in rows)
