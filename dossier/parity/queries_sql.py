@@ -752,15 +752,20 @@ SELECT case_id, document_id, {address_agree(ADDRESS_TOKENS.format('first_value')
 FROM b_printed JOIN (SELECT case_id, arg_min(address, (doc_ord, document_id)) AS first_value FROM b_printed GROUP BY 1)
      f USING (case_id)"""
 SQL["consistency_findings"] = "SELECT * FROM q_findings"
+STEPS["q_forms"] = (("b_fields",), f"""
+SELECT case_id, field_name, doc_ord, document_id, file_name,
+       CASE WHEN field_name IN ('document_number', 'issue_date', 'expiry_date') THEN document_type ELSE '' END AS type_key,
+       CASE WHEN field_name = 'full_name' THEN array_to_string({NAME_TOKENS.format('value')}, ' ')
+            WHEN field_name = 'address' THEN array_to_string({ADDRESS_TOKENS.format('value')}, ' ')
+            WHEN field_name IN ('date_of_birth', 'issue_date', 'expiry_date') THEN CAST({PARSED.format('value')} AS VARCHAR)
+            ELSE upper(trim(value)) END AS form
+FROM b_fields""")
 SQL["conflict_parts"] = """
-SELECT case_id, field_name, arg_min(document_id, (doc_ord, document_id)) AS cluster_document,
-       string_agg(file_name, ', ' ORDER BY doc_ord, document_id, file_name) || ' → ' ||
-       arg_min(value, (doc_ord, document_id)) AS part
-FROM (SELECT *, CASE WHEN field_name = 'gender' THEN upper(value) ELSE CAST(coalesce(TRY_CAST(value AS DATE),
-             CAST(try_strptime(value, '%d/%m/%Y') AS DATE)) AS VARCHAR) END AS form FROM b_fields
-      WHERE field_name IN ('date_of_birth', 'gender')) f
-WHERE (case_id, field_name) IN (SELECT (case_id, field_name) FROM q_findings WHERE severity <> 'info')
-GROUP BY case_id, field_name, form"""
+SELECT case_id, field_name, type_key, lead.d AS cluster_document, 0::INT AS part_no,
+       string_agg(file_name, ', ' ORDER BY doc_ord, document_id, file_name) || ' → ' || lead.v AS part
+FROM q_forms JOIN q_vclusters USING (case_id, field_name, type_key, form)
+WHERE (case_id, field_name, type_key) IN (SELECT (case_id, field_name, type_key) FROM q_findings WHERE severity <> 'info')
+GROUP BY case_id, field_name, type_key, lead"""
 SQL["field_names"] = "SELECT field_name, count(DISTINCT case_id) AS cases FROM b_fields GROUP BY 1"
 STEPS["q_support"] = (("q_values",), f"""
 SELECT v.case_id, v.field_name, v.type_key, v.form, any_value(v.toks) AS toks, any_value(v.n) AS n,

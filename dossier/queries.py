@@ -490,12 +490,11 @@ def consistency_findings(b: Bindings) -> DataFrame:
 
 @query
 def conflict_parts(b: Bindings) -> DataFrame:
-    """Wording of the conflicts over birth dates and genders, by cluster."""
-    fields = b.fields.filter(F.col("field_name").isin("date_of_birth", "gender"))
-    clustered = agreement.clusters(agreement.field_values(fields))
-    members = agreement.finding_members(fields, clustered)
+    """Wording of the conflicts over every field, by cluster of agreeing documents."""
+    clustered = cut(agreement.clusters(agreement.field_values(b.fields)))
+    members = agreement.finding_members(b.fields, clustered)
     return agreement.conflict_parts(members, agreement.consistency(clustered)).select(
-        "case_id", "field_name", "cluster_document", "part")
+        "case_id", "field_name", "type_key", "cluster_document", "part_no", "part")
 
 
 @query
