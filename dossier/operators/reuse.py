@@ -49,11 +49,18 @@ def reuse_rows(exact: DataFrame) -> DataFrame:
 
 
 def listed_hits(docs: DataFrame, hash_col: str = "file_hash", most: int = 5) -> DataFrame:
-    """The first ``most`` holders of each reused hash."""
-    reused = docs.groupBy(hash_col).agg(F.count("*").alias("copies")).filter(F.col("copies") > 1)
-    held = docs.join(reused, hash_col, "left_semi")
-    return top_n_within(held.select(hash_col, "document_id", "case_id"), [hash_col],
-                        [F.col("document_id")], most)
+    """For each reused document the first ``most`` other documents with its hash, by id, as ``rank`` 1, 2, …
+
+    One more than that is kept per hash, so a document among the first of them still finds enough others; a group
+    of copies never meets itself whole.
+    """
+    held = docs.filter(F.coalesce(hash_col, F.lit("")) != "").select(hash_col, "document_id", "case_id")
+    first = top_n_within(held, [hash_col], [F.col("document_id")], most + 1).select(
+        hash_col, F.col("document_id").alias("other_document_id"), F.col("case_id").alias("other_case_id"), "rank")
+    # ids before the own one keep their place, those after it move up by one
+    rank = F.col("rank") - (F.col("document_id") < F.col("other_document_id")).cast("int")
+    return held.join(first, hash_col).filter(F.col("document_id") != F.col("other_document_id")).withColumn(
+        "rank", rank.cast("int")).filter(F.col("rank") <= most)
 
 
 def with_simhash(texts: DataFrame, col: str = "text", name: str = "near_hash") -> DataFrame:

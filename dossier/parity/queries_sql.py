@@ -950,9 +950,11 @@ FROM b_versions JOIN (SELECT sha256, count(*) AS copies, min(version_id) AS a, m
   arg_min(source, version_id) AS aset, arg_max(source, version_id) AS zs FROM b_versions GROUP BY 1
   HAVING count(*) > 1) g USING (sha256)"""
 SQL["reuse_hits"] = """
-SELECT sha256 AS file_hash, version_id AS document_id, CAST(r AS INT) AS rank FROM (
- SELECT sha256, version_id, row_number() OVER (PARTITION BY sha256 ORDER BY version_id) AS r,
-        count(*) OVER (PARTITION BY sha256) AS n FROM b_versions) t WHERE n > 1 AND r <= 5"""
+SELECT file_hash, document_id, other_document_id, CAST(rank AS INT) AS rank FROM (
+ SELECT a.sha256 AS file_hash, a.version_id AS document_id, o.version_id AS other_document_id,
+        row_number() OVER (PARTITION BY a.version_id ORDER BY o.version_id) AS rank
+ FROM b_versions a JOIN (SELECT sha256, version_id, row_number() OVER (PARTITION BY sha256 ORDER BY version_id) AS r
+   FROM b_versions) o ON o.sha256 = a.sha256 AND o.r <= 6 AND o.version_id <> a.version_id) t WHERE rank <= 5"""
 SQL["reuse_messages"] = "SELECT document_id, message FROM q_reuse_rows"
 SQL["near_reuse"] = """
 WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,40}')) AS word FROM documents),

@@ -681,7 +681,7 @@ def exact_reuse(b: Bindings) -> DataFrame:
 def reuse_hits(b: Bindings) -> DataFrame:
     docs = b.versions.select(F.col("version_id").alias("document_id"), F.col("source").alias("case_id"),
                              F.col("sha256").alias("file_hash"))
-    return reuse.listed_hits(docs, most=5).select("file_hash", "document_id", "rank")
+    return reuse.listed_hits(docs, most=5).select("file_hash", "document_id", "other_document_id", "rank")
 
 
 @query

@@ -47,3 +47,15 @@ def test_photo_findings_count_their_pairs(spark):
     assert ledger[1, "face_mismatch"] == 105 and ledger[3, "face_matched"] == -5 and (1, "face_matched") not in ledger
     ranked = {r["field_name"]: r for r in analytics.discrepancy_ranking(faces).collect()}
     assert (ranked["facial_photo"]["count"], ranked["facial_photo"]["high"]) == (7, 3)
+
+
+def test_each_copy_lists_its_first_other_holders(spark):
+    rows = [(k, k % 4, "h" if k < 9 else "one" if k == 9 else "two" if k < 12 else None) for k in range(14)]
+    docs = spark.createDataFrame(rows, "document_id long, case_id long, file_hash string")
+    got = {}
+    for r in reuse.listed_hits(docs).collect():
+        assert r["other_case_id"] == r["other_document_id"] % 4
+        got.setdefault(r["document_id"], {})[r["rank"]] = r["other_document_id"]
+    want = {k: dict(enumerate([x for x in range(9) if x != k][:5], 1)) for k in range(9)}
+    assert got == {**want, 10: {1: 11}, 11: {1: 10}}
+    assert reuse.listed_hits(docs.limit(0)).count() == 0
