@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dossier.llm.common import let
+from dossier.llm.common import keeps_names, let
 from dossier.session import cut
 
 DIVISOR = 4  # lines per chunk on average
@@ -64,6 +64,7 @@ def repeats(docs: DataFrame, divisor: int = DIVISOR, id_col: str = "doc_id", tex
         F.collect_set("at.no").alias("_gone"))
 
 
+@keeps_names("_before", "_after")
 def without_repeats(docs: DataFrame, divisor: int = DIVISOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with all columns, the text without repeated chunks, and ``_before`` and ``_after``:
     struct of chunks and lines of the text as given and as left.
@@ -74,7 +75,7 @@ def without_repeats(docs: DataFrame, divisor: int = DIVISOR, id_col: str = "doc_
     """
     gone = repeats(docs, divisor, id_col, text_col).withColumnsRenamed({"_id": "_id2", "_digest": "_digest2"})
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.drop("_before", "_after").withColumns(
+    rows = docs.withColumns(
         {"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "_digest": F.hash(text)})
     both = rows.join(gone, (F.col("_id") == F.col("_id2")) & (F.col("_digest") == F.col("_digest2")), "left")
     none = F.expr("cast(array() as array<int>)")
@@ -90,7 +91,7 @@ def without_repeats(docs: DataFrame, divisor: int = DIVISOR, id_col: str = "doc_
 
     done = both.withColumn("_done", F.explode(F.array(let(chunks(F.col(text_col), divisor), left))))
     new_text = F.when(F.col(text_col).isNotNull(), F.col("_done.text")).alias(text_col)
-    return done.select(*[new_text if c == text_col else F.col(c) for c in docs.columns if c not in ("_before", "_after")],
+    return done.select(*[new_text if c == text_col else F.col(c) for c in docs.columns],
                        F.col("_done.before").alias("_before"), F.col("_done.after").alias("_after"))
 
 
@@ -106,6 +107,7 @@ def _pairs(text: Column) -> Column:
     return let(F.split(text, "\n"), of)
 
 
+@keeps_names("_before", "_after")
 def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with all columns, the text without the passages of two and more lines that stand at an
     earlier place, and ``_before`` and ``_after``: struct of lines of the text as given and as left.
@@ -125,7 +127,7 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     gone = found.filter(F.col("at") != F.col("first")).groupBy(F.col("at._id").alias("_id2"), F.col("at._digest").alias("_digest2")).agg(
         F.collect_set(F.struct("at.start", "end")).alias("_gone"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.drop("_before", "_after").withColumns(
+    rows = docs.withColumns(
         {"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "_digest": F.hash(text)})
     both = rows.join(gone, (F.col("_id") == F.col("_id2")) & (F.col("_digest") == F.col("_digest2")), "left")
 
@@ -141,5 +143,5 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     done = both.withColumn("_done", F.explode(F.array(
         F.when(F.col("_gone").isNull(), whole).otherwise(let(F.split(text, "\n"), left)))))
     new_text = F.when(F.col(text_col).isNotNull(), F.col("_done.text")).alias(text_col)
-    return done.select(*[new_text if c == text_col else F.col(c) for c in docs.columns if c not in ("_before", "_after")],
+    return done.select(*[new_text if c == text_col else F.col(c) for c in docs.columns],
                        F.col("_done.before").alias("_before"), F.col("_done.after").alias("_after"))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from dossier.llm.common import SPACE
+from dossier.llm.common import SPACE, keeps_names
 from dossier.session import cut
 
 WEIGHTS, SHARE, MOST, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 42
@@ -95,6 +95,7 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SH
     return rows.select("doc_id", "source", "digest", "size", "source_size", "target", crossed.cast("long").alias("copies"))
 
 
+@keeps_names("copy")
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
             **how: object) -> DataFrame:
     """The mix itself: each row of ``docs``, all columns, as often as it is taken, with ``copy`` counting from 1.
@@ -104,12 +105,13 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     rows = mixed(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
     keys = ("_id", "_digest", "_source")
     own = rows.select(F.col("doc_id").alias("_id2"), F.col("digest").alias("_digest2"), F.col("source").alias("_source2"),
-                      "copies", F.row_number().over(Window.partitionBy("doc_id", "digest", "source").orderBy("copies")).alias("_n2"))
+                      F.col("copies").alias("_copies"),
+                      F.row_number().over(Window.partitionBy("doc_id", "digest", "source").orderBy("copies")).alias("_n2"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    named = docs.drop("copy").withColumns({"_id": F.col(id_col).cast("long"), "_digest": F.xxhash64(text), "_source": F.col(source_col)})
+    named = docs.withColumns({"_id": F.col(id_col).cast("long"), "_digest": F.xxhash64(text), "_source": F.col(source_col)})
     numbered = named.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_id")))
     same = F.col("_n") - F.col("_n2") == 0
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"{k}2"))
-    taken = numbered.join(own.filter("copies > 0"), same)
-    return taken.select(*[c for c in docs.columns if c != "copy"], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    taken = numbered.join(own.filter("_copies > 0"), same)
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy"))
