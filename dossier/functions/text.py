@@ -14,9 +14,9 @@ def _c(col: Column | str) -> Column:
 
 
 def _fold_rules() -> tuple[str, str, dict[str, str]]:
-    """Characters whose compatibility form has ASCII in it, by rule from Unicode."""
+    """All characters whose compatibility form has ASCII in it, by rule from Unicode: one to one, and one to several."""
     source, target, longer = [], [], {}
-    for code in range(0xA0, 0x10000):
+    for code in range(0xA0, 0x110000):
         if 0xD800 <= code < 0xE000:
             continue
         char = chr(code)
@@ -24,18 +24,20 @@ def _fold_rules() -> tuple[str, str, dict[str, str]]:
         if len(plain) == 1:
             source.append(char)
             target.append(plain)
-        elif plain and (code < 0x250 or 0xFB00 <= code <= 0xFB06):
+        elif plain:
             longer[char] = plain
     return "".join(source), "".join(target), longer
 
 
 _FOLD_FROM, _FOLD_TO, _FOLD_LONGER = _fold_rules()
+_ENTRY, _VALUE = "\x1e", "\x1f"  # no compatibility form holds them
+_LONGER_TEXT = _ENTRY.join(f"{k}{_VALUE}{v}" for k, v in _FOLD_LONGER.items())
 
 
 def fold_ascii(col: Column | str) -> Column:
-    """Accents folded to ASCII, what does not fold dropped; ASCII text passes untouched."""
+    """Accents and compatibility forms of all of Unicode folded to ASCII, what does not fold dropped; ASCII text passes untouched."""
     col = _c(col)
-    pairs = F.create_map(*[F.lit(part) for item in _FOLD_LONGER.items() for part in item])
+    pairs = F.str_to_map(F.lit(_LONGER_TEXT), F.lit(_ENTRY), F.lit(_VALUE))
     spelled = F.array_join(F.transform(
         F.split(col, ""), lambda ch: F.coalesce(F.try_element_at(pairs, ch), ch)), "")
     whole = F.when(col.rlike("[" + "".join(_FOLD_LONGER) + "]"), spelled).otherwise(col)

@@ -130,7 +130,9 @@ def share(df: DataFrame, col: str, name: str = "percentage") -> DataFrame:
 
 
 def mismatch_first(rows: DataFrame) -> DataFrame:
-    return rows.orderBy(F.col("status") != "mismatch", "field_name")
+    """Comparison rows with their ``position`` in the case: conflicts first, then by name; a case has a row per field."""
+    order = Window.partitionBy("case_id").orderBy(F.col("status") != "mismatch", "field_name")
+    return rows.withColumn("position", F.row_number().over(order))
 
 
 def case_card(cases: DataFrame, docs: DataFrame, versions: DataFrame) -> DataFrame:

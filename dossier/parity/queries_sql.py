@@ -1208,6 +1208,21 @@ FROM (SELECT chain, count(*) AS n, min(CASE WHEN hurt THEN id END) AS bad, any_v
      id = max(id) OVER (PARTITION BY segment, id // 10000) AS tail FROM b_audit) a WHERE NOT (lost AND tail)) b) d
  GROUP BY 1) f"""
 
+SQL["evidence_files"] = """
+SELECT doc_id, reason IS NULL AS accepted, reason, CASE WHEN broken THEN 'unavailable' WHEN trim(body, chr(32) || chr(9) || chr(10)) = ''
+  AND doc_id % 3 = 0 THEN 'no_text' ELSE 'extracted' END AS extraction_status,
+ CAST(length(CASE WHEN broken THEN '' ELSE body END) AS BIGINT) AS n_chars, md5(CASE WHEN broken THEN '' ELSE body END) AS text_md5
+FROM (SELECT *, doc_id % 3 = 0 AND doc_id % 50 IN (7, 11) AS broken,
+ CASE WHEN doc_id % 3 <> 0 AND body = '' THEN 'size out of bounds' WHEN doc_id % 3 = 0 AND doc_id % 50 = 7 THEN 'DOCX container is not readable'
+      WHEN doc_id % 3 = 0 AND doc_id % 50 = 11 THEN 'DOCX container has no document part' END AS reason
+ FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(coalesce(text, ''), chr(10), ' ') ELSE coalesce(text, '') END AS body
+       FROM documents) a) b"""
+SQL["blob_check"] = """
+SELECT version_id, reason IS NULL AS verified, reason FROM (SELECT version_id, CASE version_id % 50 WHEN 9 THEN 'invalid storage key'
+ WHEN 1 THEN 'file missing' WHEN 3 THEN 'integrity check failed' WHEN 5 THEN 'hash differs from record' END AS reason FROM b_versions) a"""
+SQL["comparison_order"] = f"""
+SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY status <> 'mismatch', field_name) AS INTEGER) AS position,
+ field_name, status FROM ({SQL["comparison_table"]}) rows_of_case"""
 SQL["encrypted_roundtrip"] = """
 SELECT version_id, text <> '' AS marked, true AS same, text <> '' AS other_context_refused FROM b_versions"""
 SQL["merged_lines"] = """
@@ -1244,7 +1259,11 @@ WHERE o_orderkey % 4 <> 0 AND (n > 0 OR risk >= 30)"""
 # ---- streams --------------------------------------------------------------------------------------------------------
 SQL["stream_sessions"] = """
 SELECT u.user_id, count(*) AS valid_uses FROM events u JOIN events s ON u.user_id = s.user_id AND
- s.event_type = 'signup' AND u.event_type = 'click' AND u.ts >= s.ts AND u.ts < s.ts + INTERVAL 12 HOURS GROUP BY 1"""
+ s.event_type = 'signup' AND u.event_type = 'click' AND u.ts >= s.ts AND u.ts < s.ts + INTERVAL 12 HOURS
+WHERE NOT EXISTS (SELECT 1 FROM events r WHERE r.user_id = u.user_id AND r.event_type = 'error' AND r.ts BETWEEN s.ts AND u.ts)
+ AND epoch_ms(u.ts) < (SELECT min(newest) - 13 * 3600000 FROM (
+  SELECT max(epoch_ms(ts)) AS newest FROM events WHERE event_type IN ('signup', 'click', 'error') GROUP BY event_type) w)
+GROUP BY 1"""
 SQL["stream_links"] = """
 SELECT CASE WHEN id % 1009 = 7 THEN before = 0 ELSE NOT coalesce(gap, false) END AS linked,
        id % 997 <> 13 AND (id % 1009 <> 7 OR n = 1) AS sound, false AS late, count(*) AS events

@@ -1,8 +1,12 @@
 """Every operator as a query over the tables of a folder: name → (spark, folder) → DataFrame."""
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+import zipfile
+from collections.abc import Callable, Iterator
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dossier import policy
@@ -89,6 +93,50 @@ def html_text(b: Bindings) -> DataFrame:
                                  F.when(body == "", "no_text").otherwise("extracted").alias("extraction_status"))
 
 
+def _docx_of(texts: DataFrame) -> DataFrame:
+    """Texts (doc_id, text) as DOCX files, a paragraph for each line; some are cut off or lack the document part."""
+    def packed(doc: int, text: str) -> bytes:
+        lines = "".join(f"<w:p><w:r><w:t>{escape(line)}</w:t></w:r></w:p>" for line in text.split("\n"))
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr("other.xml" if doc % 50 == 11 else files.DOCX_PART, f'<w:document xmlns:w="urn:w"><w:body>{lines}</w:body></w:document>')
+        return out.getvalue()[:-40] if doc % 50 == 7 else out.getvalue()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame({"path": [f"/in/{d}.docx" for d in rows["doc_id"]],
+                                "content": [packed(d, t) for d, t in zip(rows["doc_id"], rows["text"])]})
+
+    return texts.mapInPandas(run, "path string, content binary")
+
+
+@query
+def evidence_files(b: Bindings) -> DataFrame:
+    """Every document as a file, each third a DOCX, the others plain text: the gate's verdict and the text read back."""
+    docs = b.raw("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    plain = docs.filter(F.col("doc_id") % 3 != 0).select(
+        F.concat(F.lit("/in/"), "doc_id", F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
+    given = cut(plain.unionByName(_docx_of(docs.filter(F.col("doc_id") % 3 == 0))))
+    judged = files.intake_check(given).select("path", "accepted", "reason")
+    return judged.join(files.extract_text(given), "path").select(
+        F.regexp_extract("path", r"(\d+)\.", 1).cast("long").alias("doc_id"), "accepted", "reason", "extraction_status",
+        F.char_length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@query
+def blob_check(b: Bindings) -> DataFrame:
+    """Each version against its sealed file; some files are lost, changed or sealed over another text, some keys are no keys."""
+    number = F.col("version_id") % 50
+    versions = b.versions.select(
+        "version_id", "sha256", F.concat(F.md5(F.col("version_id").cast("string")),
+                                         F.when(number == 9, ".tmp").otherwise(".vault")).alias("storage_key"), "text")
+    content = F.when(number == 5, F.concat("text", F.lit(" more"))).otherwise(F.col("text"))
+    sealed = files.seal(content.cast("binary"), KEY)
+    broken = F.when(number == 3, F.concat(F.substring(sealed, 1, 20), F.lit(b"changed"))).otherwise(sealed)
+    blobs = versions.filter(number != 1).select(F.concat(F.lit("/vault/"), "storage_key").alias("path"), broken.alias("content"))
+    return files.verify_blobs(versions.drop("text"), blobs, KEY).select("version_id", "verified", "reason")
+
+
 @query
 def content_fingerprint(b: Bindings) -> DataFrame:
     return files.with_sha256(b.raw("documents"), "text").select("doc_id", "sha256")
@@ -509,6 +557,12 @@ def comparison_table(b: Bindings) -> DataFrame:
     return agreement.comparison(agreement.support(values), findings)
 
 
+@query
+def comparison_order(b: Bindings) -> DataFrame:
+    """The comparison of each case as it is read: conflicts first."""
+    return listing.mismatch_first(comparison_table(b)).select("case_id", "position", "field_name", "status")
+
+
 @query
 def fusion_matrix(b: Bindings) -> DataFrame:
     return screened(b).fused
@@ -954,14 +1008,14 @@ def stream_lockouts(b: Bindings) -> DataFrame:
 
 @query
 def stream_sessions(b: Bindings) -> DataFrame:
-    """Sign-ups open a session of their user, clicks use it."""
-    events = _stream(b, "events").select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    issued = events.filter(F.col("event_type") == "signup").select(
-        F.col("user_id").cast("string").alias("token"), F.col("ts").alias("issued_at"),
-        F.lit(None).cast("timestamp").alias("revoked_at"), "user_id")
-    used = _stream(b, "events").filter(F.col("event_type") == "click").select(
-        F.col("user_id").cast("string").alias("token"), F.col("ts").cast("timestamp").alias("used_at"))
-    return _run(b, jobs.session_validity(issued, used)).groupBy("user_id").agg(F.count("*").alias("valid_uses"))
+    """Sign-ups open a session of their user, clicks use it, errors revoke it."""
+    def of(kind: str, time: str) -> DataFrame:
+        return _stream(b, "events").filter(F.col("event_type") == kind).select(
+            F.col("user_id").cast("string").alias("token"), F.col("ts").cast("timestamp").alias(time), "user_id")
+
+    valid = jobs.session_validity(of("signup", "issued_at"), of("click", "used_at").drop("user_id"),
+                                  of("error", "revoked_at").drop("user_id"))
+    return _run(b, valid).groupBy("user_id").agg(F.count("*").alias("valid_uses"))
 
 
 @query

@@ -14,17 +14,38 @@ from dossier.functions.text import base_name, extension, present, safe_file_name
 from dossier.operators.validation import lookup
 
 
+DOCX_PART = "word/document.xml"
+
+
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """Files of a folder tree as (path, modificationTime, length, content)."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
 
 
+def _container_fault(content: bytes, most: int) -> str | None:
+    """What is wrong with a DOCX container: its directory is read, not its text."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            size = archive.getinfo(DOCX_PART).file_size
+    except zipfile.BadZipFile:
+        return "DOCX container is not readable"
+    except KeyError:
+        return "DOCX container has no document part"
+    return "DOCX text is too large" if size > most else None
+
+
+def container_fault(content: Column, most: int = policy.MAX_DOCX_XML_BYTES) -> Column:
+    """The fault of a DOCX file, null for a sound one and for null content."""
+    def run(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: None if c is None else _container_fault(c, most)).astype(object)
+
+    return F.pandas_udf(run, "string")(content)
 
 
-def intake_check(files: DataFrame, most: int = policy.MAX_UPLOAD_BYTES) -> DataFrame:
-    """Verdict per file (path, content): kind, size, leading bytes, encoding.
+def intake_check(files: DataFrame, most: int = policy.MAX_UPLOAD_BYTES, most_docx: int = policy.MAX_DOCX_XML_BYTES) -> DataFrame:
+    """Verdict per file (path, content): kind, size, leading bytes, encoding, DOCX container.
 
-    The first failing rule gives the reason.
+    The first failing rule gives the reason. Only the contents of DOCX files of a fair size leave the JVM.
     """
     named = files.withColumn("filename", F.substring(base_name("path"), 1, 240)).withColumn(
         "extension", extension("filename"))
@@ -37,6 +58,8 @@ def intake_check(files: DataFrame, most: int = policy.MAX_UPLOAD_BYTES) -> DataF
         .when((size < 1) | (size > most), "size out of bounds")
         .when(magic.isNotNull() & ~leads, "content does not match extension")
         .when((suffix == ".txt") & ~F.is_valid_utf8(content.cast("string")), "text is not UTF-8"))
+    packed = F.when((suffix == ".docx") & leads & (size <= most), content)
+    reason = F.coalesce(reason, container_fault(packed, most_docx))
     return named.withColumn("mime", lookup(suffix, policy.MIME_BY_EXTENSION)).withColumn(
         "byte_size", size.cast("long")).withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
 
@@ -73,10 +96,14 @@ def html_text(col: Column | str) -> Column:
 def _docx(content: bytes) -> tuple[str | None, str]:
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            if archive.getinfo("word/document.xml").file_size > policy.MAX_DOCX_XML_BYTES:
-                return "", "unavailable"
-            root = ElementTree.fromstring(archive.read("word/document.xml"))
-        text = " ".join(node.text or "" for node in root.iter() if node.tag.endswith("}t"))
+            parts = []
+            with archive.open(DOCX_PART) as part:
+                for _, node in ElementTree.iterparse(part):
+                    if node.tag.endswith("}t"):
+                        parts.append(node.text or "")
+                    elif node.tag.endswith("}p"):
+                        node.clear()  # the texts of a paragraph are out, so its nodes may go
+        text = " ".join(parts)
         return text, "extracted" if text.strip() else "no_text"
     except Exception:  # noqa: BLE001 - a broken file is a row, not a failed job
         return "", "unavailable"
@@ -90,7 +117,7 @@ def _docx_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def extract_text(files: DataFrame) -> DataFrame:
-    """Text and status per file (path, content): extracted, no_text or unavailable. Whole texts are kept."""
+    """Text and status per file (path, content): extracted, no_text or unavailable. Whole texts are kept, of any size."""
     suffix = extension("path")
     plain = files.filter(suffix.isin(".txt", ".html", ".htm"))
     raw = F.decode("content", "UTF-8")
