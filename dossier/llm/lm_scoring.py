@@ -1,23 +1,31 @@
 """Language-model scores: smoothed n-grams as a weighted backoff automaton, one traversal per text.
 
-Counts come from the whole training part: every word, and every longer n-gram that stands there ``LEAST`` times or
-more, however large the corpus is. The model never travels whole. Texts are dealt into blocks; a block asks
-for its own n-grams, counted within it; the counts of an n-gram meet in the bucket of its digest, and the block
-gets back the arcs and failure weights that its texts can follow. Discounted mass goes down the failure arcs, so the
-arcs of every state still sum to one.
-
-N-grams are known by 64-bit digests: among 4e9 different ones about one pair in two corpora is taken for one.
-``Automaton`` is the same model in one piece, for few n-grams.
+Counts come from the whole training part: every n-gram of every length, also those that stand once, however large the
+corpus is. The model never travels whole. Texts are dealt into blocks, written once as numbers of their
+words; a block asks for its own n-grams, sorted by digest and sent as differences; the counts of an n-gram meet in the
+bucket of its digest, and the answer is the row of counts in the order of the question. From them the
+block builds the automaton of the n-grams that its texts can follow, and every text is read once, from left to right.
+
+Smoothing takes each shorter context as a prior of ``PRIOR`` imagined tokens: p(w | h) = (c(h w) + K p(w | h')) /
+(c(h) + K), where h' is h without its first word and p(w) the base. As every token but the end has a follower, the
+chances of all words after a context sum to one. An n-gram that was not seen has the chance K / (c(h) + K) p(w | h'),
+so the first factor is the weight of the failure arc and does not depend on w.
+
+N-grams are known by 63-bit digests: among 4e9 different ones about one pair is taken for one.
 """
 from __future__ import annotations
 
 import hashlib
 import math
+import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -25,12 +33,26 @@ from dossier.session import cut
 
 BLOCK = 8_000_000  # bytes of text that ask together
 BUCKET, BUCKETS = 16_000_000, 256  # bytes of text for each bucket of digests, and the least number of buckets
-LEAST, DISCOUNT, ORDER = 2, 0.5, 3
+PRIOR = (150.0, 30.0)  # imagined tokens of the shorter context, for contexts of one word, of two and more
+PIECE = 1 << 20  # bytes of a text split at a time
 END = b""  # no word is empty
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return [*text.lower().split(), END] if text else [END]
+def pieces(text: bytes) -> Iterator[bytes]:
+    """The text in pieces of about ``PIECE`` bytes that end at white space."""
+    at = 0
+    while at < len(text):
+        space = _SPACE.search(text, at + PIECE)
+        end = space.start() if space else len(text)
+        yield text[at:end]
+        at = end
+
+
+def tokens(text: bytes | None) -> Iterator[bytes]:
+    for piece in pieces(text or b""):
+        yield from piece.lower().split()
+    yield END
 
 
 def held_out(doc_id: Column) -> Column:
@@ -38,280 +60,228 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-class Automaton:
-    """States are contexts of kept n-grams; a missing arc follows the failure arc to the shorter context."""
-
-    def __init__(self, head: dict[bytes, int], core: dict[bytes, int], grams: Iterable[tuple[int, int, int]],
-                 n: int, v: int, discount: float = DISCOUNT):
-        self.norm = math.log10(n + v + 1)
-        self.base = {w: math.log10(c + 1) - self.norm for w, c in head.items()}
-        self.core, self.width = core, len(core) + 1
-        counts = {i: head[w] for w, i in core.items()}
-        grams = sorted(grams)
-        counts.update({g: c for _, g, c in grams})
-        self.state = {g: k + 1 for k, g in enumerate(dict.fromkeys(g // self.width for _, g, _ in grams))}
-        self.back, self.fail = [0] * (len(self.state) + 1), [0.0] * (len(self.state) + 1)
-        self.arcs: dict[int, tuple[float, int]] = {}
-        chance = {i: 10 ** self.base[w] for w, i in core.items()}
-        for word, p in chance.items():
-            self.arcs[word] = (math.log10(p), self.state.get(word, 0))
-        left = dict.fromkeys(self.state, 1.0)
-        for _, gram, c in grams:
-            left[gram // self.width] -= (c - discount) / counts[gram // self.width]
-        for length, gram, c in grams:
-            context, word = divmod(gram, self.width)
-            p = (c - discount) / counts[context] + left[context] * self._chance(chance, self._shorter(context), word, left)
-            chance[gram] = p
-            self.arcs[self.state[context] * self.width + word] = (math.log10(p), self._longest(gram))
-        for context, s in self.state.items():
-            self.back[s] = self.state.get(self._shorter(context), 0)
-            self.fail[s] = math.log10(left[context])
-        self.down = [0.0] * len(self.back)  # failure weights added up to the root
-        for context, s in sorted(self.state.items()):
-            self.down[s] = self.fail[s] + self.down[self.back[s]]
-
-    def _shorter(self, gram: int) -> int:
-        """The gram without its first word."""
-        power = self.width
-        while power * self.width <= gram:
-            power *= self.width
-        return gram % power if gram >= self.width else 0
-
-    def _longest(self, gram: int) -> int:
-        while gram and gram not in self.state:
-            gram = self._shorter(gram)
-        return self.state.get(gram, 0)
-
-    def _chance(self, chance: dict[int, float], context: int, word: int, left: dict[int, float]) -> float:
-        """Probability of a core word after a context, down the failure arcs."""
-        weight = 1.0
-        while context:
-            known = chance.get(context * self.width + word)
-            if known is not None:
-                return weight * known
-            weight *= left.get(context, 1.0)
-            context = self._shorter(context)
-        return weight * chance[word]
-
-    def run(self, words: list[bytes]) -> tuple[float, float, int, list[bytes]]:
-        """Log10 score and base score of the known words, how many they are, and the others.
-
-        Of the others only the failure weights are in the score; their unigram weights are still to be added.
-        """
-        core, base, arcs, width, back, fail, down = (self.core.get, self.base.get, self.arcs.get, self.width, self.back,
-                                                     self.fail, self.down)
-        state, score, plain, known, rare = 0, 0.0, 0.0, 0, []
-        for word in words:
-            weight = base(word)
-            if weight is None:
-                score += down[state]
-                state = 0
-                rare.append(word)
-                continue
-            known += 1
-            plain += weight
-            number = core(word)
-            if number is None:
-                score += down[state] + weight
-                state = 0
-                continue
-            arc = arcs(state * width + number)
-            while arc is None:
-                score += fail[state]
-                state = back[state]
-                arc = arcs(state * width + number)
-            score += arc[0]
-            state = arc[1]
-        return score, plain, known, rare
+def packed(values: np.ndarray) -> bytes:
+    """Bytes by their rank, compressed: the high bytes of small numbers are nearly all zero."""
+    return zstandard.ZstdCompressor(level=3).compress(
+        np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes())
+
+
+def unpacked(value: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(value), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+_BLOCKS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())),
+                     ("sizes", pa.list_(pa.int64())), ("words", pa.binary()), ("tokens", pa.binary()), ("bytes", pa.int64())])
 
 
 def _blocked(rows: DataFrame) -> DataFrame:
-    """``rows`` (text, doc_id, held_out) with the number of their block: runs of about ``BLOCK`` bytes of a partition."""
+    """``rows`` (text, doc_id, held_out) as one row for each run of about ``BLOCK`` bytes of a partition.
+
+    A row has the digests of its different words, commonest first, and all tokens by their number among these.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, done = TaskContext.get().partitionId() << 24, 0
-        for batch in batches:
-            sizes = np.fromiter((len(t.as_buffer()) for t in batch.column(0)), np.int64, len(batch))
-            ends = done + np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part + (ends - sizes) // BLOCK)],
-                                             names=["text", "doc_id", "held_out", "block"])
-            done = int(ends[-1]) if len(ends) else done
+        block, done, number = TaskContext.get().partitionId() << 24, 0, {}
+        ids, held, parts = [], [], []
+
+        def row() -> pa.RecordBatch:
+            whole = np.concatenate(parts)
+            common = np.argsort(-np.bincount(whole, minlength=len(number)), kind="stable")
+            rank = np.empty(len(number), np.uint32)
+            rank[common] = np.arange(len(number), dtype=np.uint32)
+            digests = np.fromiter((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") | 1 for w in number),
+                                  np.uint64, len(number))
+            values = (block, ids, held, [len(p) for p in parts], packed(digests[common]), packed(rank[whole]), done)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, _BLOCKS.types)], schema=_BLOCKS)
 
-    return rows.select("text", "doc_id", "held_out").mapInArrow(run, "text binary, doc_id long, held_out boolean, block long")
+        for batch in batches:
+            for text, doc_id, apart in zip(*batch.columns):
+                text = text.as_py()
+                parts.append(np.fromiter((number.setdefault(w, len(number)) for w in tokens(text)), np.uint32))
+                ids.append(doc_id.as_py())
+                held.append(apart.as_py())
+                done += len(text)
+                if done >= BLOCK:
+                    yield row()
+                    block, done, number = block + 1, 0, {}
+                    ids, held, parts = [], [], []
+        if parts:
+            yield row()
+
+    return rows.select("text", "doc_id", "held_out").mapInArrow(
+        run, "block long, doc_ids array<long>, held_out array<boolean>, sizes array<long>, words binary, tokens binary, bytes long")
+
+
+class Grams(NamedTuple):
+    """The different n-grams of one length: place of one occurrence's end, digest, and the number of the n-gram that ends at each place."""
+    at: np.ndarray
+    keys: np.ndarray
+    number: np.ndarray
 
 
 def _mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Digests of n-grams from those of their contexts and last words."""
+    """Digests of n-grams from those of their contexts and last words; the last bit tells them from words."""
     x = context * np.uint64(0x9E3779B97F4A7C15) + word
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
-
-
-def _grams(texts: Iterable[pa.Scalar], order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Tokens in each text, and for each length the ends (places in the row of all tokens) and digests of its n-grams."""
-    number: dict[bytes, int] = {}
-    parts = []
-    for text in texts:
-        own = tokens(text.as_py())
-        parts.append(np.fromiter((number.setdefault(w, len(number)) for w in own), np.int64, len(own)))
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    digests = np.fromiter((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in number), np.uint64, len(number))
-    words = digests[np.concatenate(parts)] if parts else digests
-    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    ends, keys = np.arange(len(words)), words
-    found = [(ends, keys)]
-    for length in range(2, order + 1):
-        whole = np.zeros(len(words), np.uint64)
-        whole[ends] = keys
-        ends = ends[place[ends] >= length - 1]
-        keys = _mixed(whole[ends - 1], words[ends])
-        found.append((ends, keys))
-    return sizes, found
+    x ^= x >> np.uint64(29)
+    return x & ~np.uint64(1)
+
 
+def grams(sizes: np.ndarray, digests: np.ndarray, numbers: np.ndarray, order: int) -> list[Grams]:
+    """The n-grams of a block by length; those of a length are numbered by context and last word.
 
-def _packed(values: np.ndarray) -> bytes:
-    """Bytes by their rank, so that the zeros of small numbers lie together and compress."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes() if len(values) else b""
+    ``number`` is -1 where no n-gram of that length ends inside its text.
+    """
+    place = np.arange(len(numbers)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    _, at = np.unique(numbers, return_index=True)
+    found = [Grams(at, digests, numbers.astype(np.int64))]
+    for length in range(2, order + 1):
+        before = found[-1]
+        ends = np.flatnonzero(place >= length - 1)
+        _, at, inverse = np.unique(before.number[ends - 1] * len(digests) + numbers[ends], return_index=True, return_inverse=True)
+        number = np.full(len(numbers), -1)
+        number[ends] = inverse
+        at = ends[at]
+        found.append(Grams(at, _mixed(before.keys[before.number[at - 1]], digests[numbers[at]]), number))
+    return found
 
 
-def _unpacked(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
-    size = np.dtype(kind).itemsize
-    return [np.ascontiguousarray(np.frombuffer(v.as_py(), np.uint8).reshape(size, -1).T).reshape(-1).view(kind) for v in column]
+def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.array(row["sizes"], np.int64), unpacked(row["words"], np.uint64), unpacked(row["tokens"], np.uint32)
 
 
-def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Different keys, the sums of their values, the order that sorts ``keys`` and where each key begins in it."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
-    return keys[starts], np.add.reduceat(values[order], starts) if len(starts) else values[:0], order, starts
+def _distinct(found: list[Grams]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted digests of all n-grams, and for each n-gram, lengths one after the other, its place among them."""
+    return np.unique(np.concatenate([f.keys for f in found]), return_inverse=True)
 
 
-def _by(number: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """The columns cut by a number, in its order."""
-    order = np.argsort(number, kind="stable")
-    number, columns = number[order], [c[order] for c in columns]
-    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(number)), bool), number[1:] != number[:-1]]))
-    for a, b in zip(starts, [*starts[1:], len(number)]):
-        yield int(number[a]), [c[a:b] for c in columns]
+_ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
 
 
-_ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("grams", pa.binary()), ("contexts", pa.binary()), ("counts", pa.binary())])
+def _edges(buckets: int) -> np.ndarray:
+    return np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
 
 
-def _asked(blocked: DataFrame, order: int, buckets: int) -> DataFrame:
-    """A row for each block and bucket: digests of n-grams, of their contexts (0: none), and counts in training texts."""
+def _asked(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
+    """A row for each block and bucket, a range of digests: sorted digests as differences, and counts in training texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = _edges(buckets)
         for batch in batches:
-            blocks = batch.column(2).to_numpy()
-            cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1), len(blocks)] if len(blocks) else [0]
-            for a, b in zip(cuts, cuts[1:]):
-                sizes, found = _grams(batch.column(0)[a:b], order)
-                learned = np.repeat(~batch.column(1)[a:b].to_numpy(zero_copy_only=False), sizes)
-                whole, before = np.zeros(len(learned), np.uint64), []
-                for ends, keys in found:
-                    before.append(whole[ends - 1] if before else np.zeros(len(keys), np.uint64))
-                    whole = np.zeros(len(learned), np.uint64)
-                    whole[ends] = keys
-                keys, contexts = np.concatenate([k for _, k in found]), np.concatenate(before)
-                grams, counts, at, starts = _sums(keys, np.concatenate([learned[e] for e, _ in found]).astype(np.int64))
-                rows = [(p, int(blocks[a]), *map(_packed, c)) for p, c in _by(
-                    (grams % np.uint64(buckets)).astype(np.int32), grams, contexts[at[starts]], counts)]
+            for row in batch.to_pylist():
+                sizes, digests, numbers = _read(row)
+                learned = np.repeat(~np.array(row["held_out"], bool), sizes)
+                found = grams(sizes, digests, numbers, order)
+                keys, place = _distinct(found)
+                own = np.concatenate([np.bincount(f.number[learned & (f.number >= 0)], minlength=len(f.keys)) for f in found])
+                counts = np.bincount(place, weights=own, minlength=len(keys)).astype(np.uint32)
+                cuts = [*np.searchsorted(keys, edges), len(keys)]
+                rows = [(k, row["block"], packed(np.diff(keys[a:b], prepend=edges[k])), packed(counts[a:b]))
+                        for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ASKED.types)], schema=_ASKED)
 
-    return blocked.select("text", "held_out", "block").mapInArrow(
-        run, "bucket int, block long, grams binary, contexts binary, counts binary")
+    return blocks.select("block", "held_out", "sizes", "words", "tokens").mapInArrow(
+        run, "bucket int, block long, grams binary, counts binary")
 
 
-_COUNTED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary()),
-                      ("words", pa.int64()), ("kinds", pa.int64())])
+_COUNTED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("counts", pa.binary()), ("words", pa.int64()), ("kinds", pa.int64())])
 
 
 def _counted(asked: DataFrame, buckets: int) -> DataFrame:
-    """The kept n-grams of each block with their counts in all blocks; and, in rows without a block, what the kept
-    n-grams of a bucket take from their contexts, in the bucket of the context, and its words and different words."""
+    """For each block and bucket the counts in all training texts, as asked; and, in a row without a block, the words
+    of the bucket and its different words."""
     def run(table: pa.Table) -> pa.Table:
-        parts = _unpacked(table["grams"], np.uint64)
-        blocks = np.repeat(table["block"].to_numpy(), [len(p) for p in parts])
-        contexts = np.concatenate(_unpacked(table["contexts"], np.uint64))
-        grams, totals, at, starts = _sums(np.concatenate(parts), np.concatenate(_unpacked(table["counts"], np.int64)))
-        contexts = contexts[at[starts]]
-        kept = totals >= np.where(contexts == 0, 1, LEAST)
-        which = np.repeat(np.arange(len(starts)), np.diff([*starts, len(at)]))
-        asks = kept[which]
         here = table["bucket"][0].as_py()
-        rows = []
-        for block, (own,) in _by(blocks[at][asks], which[asks]):
-            own = own[np.concatenate([[True], own[1:] != own[:-1]])]
-            rows.append((here, block, _packed(grams[own]), _packed(totals[own]), 0, 0))
-        words = kept & (contexts == 0)
-        rows.append((here, None, b"", b"", int(totals[words].sum()), int(words.sum())))
-        longer = kept & (contexts != 0)
-        above, taken, _, _ = _sums(contexts[longer], totals[longer] - DISCOUNT)
-        rows += [(p, None, _packed(k), _packed(t), 0, 0) for p, (k, t) in _by((above % np.uint64(buckets)).astype(np.int32), above, taken)]
+        parts = [np.cumsum(unpacked(g.as_py(), np.uint64), dtype=np.uint64) + _edges(buckets)[here] for g in table["grams"]]
+        keys, place = np.unique(np.concatenate(parts), return_inverse=True)
+        own = np.concatenate([unpacked(c.as_py(), np.uint32) for c in table["counts"]])
+        totals = np.bincount(place, weights=own, minlength=len(keys)).astype(np.int64)
+        word = (keys & np.uint64(1)).astype(bool) & (totals > 0)
+        rows = [(here, None, b"", int(totals[word].sum()), int(word.sum()))]
+        ends = np.cumsum([len(p) for p in parts])
+        for block, end, part in zip(table["block"].to_pylist(), ends, parts):
+            rows.append((here, block, packed(totals[place[end - len(part):end]]), 0, 0))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _COUNTED.types)], schema=_COUNTED)
 
-    return asked.groupBy("bucket").applyInArrow(run, "bucket int, block long, grams binary, counts binary, words long, kinds long")
+    return asked.groupBy("bucket").applyInArrow(run, "bucket int, block long, counts binary, words long, kinds long")
 
 
-_ARCS = pa.schema([("block", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary()), ("taken", pa.binary())])
-
-
-def _arcs(counted: DataFrame) -> DataFrame:
-    """For each block its kept n-grams, their counts and what the kept n-grams they are contexts of take from them."""
-    def run(table: pa.Table) -> pa.Table:
-        own = table.filter(pa.compute.is_valid(table["block"]))
-        rest = table.filter(pa.compute.is_null(table["block"]))
-        above, taken, _, _ = _sums(np.concatenate([np.zeros(0, np.uint64), *_unpacked(rest["grams"], np.uint64)]),
-                                   np.concatenate([np.zeros(0), *_unpacked(rest["counts"], np.float64)]))
-        rows = [(_packed(_found(above, taken, g)),) for g in _unpacked(own["grams"], np.uint64)]
-        return pa.Table.from_arrays([own["block"], own["grams"], own["counts"], pa.array([r[0] for r in rows], pa.binary())], schema=_ARCS)
-
-    return counted.select("bucket", "block", "grams", "counts").groupBy("bucket").applyInArrow(
-        run, "block long, grams binary, counts binary, taken binary")
+class Automaton:
+    """States are the contexts seen in training, the root is the empty one; arcs are the n-grams seen.
 
+    ``found`` are the n-grams of the texts to be read and ``counts`` how often each stands in training, length by length;
+    ``n`` and ``v`` are the words of training and the different ones. Arcs of a state lie together, sorted by word.
+    """
 
-def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The values of the wanted keys, 0 for those that are not there; ``keys`` are sorted."""
-    if not len(keys):
-        return np.zeros(len(wanted), values.dtype)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], 0)
+    def __init__(self, found: list[Grams], counts: list[np.ndarray], n: int, v: int, prior: tuple[float, ...] = PRIOR):
+        numbers = found[0].number
+        self.known, self.base = counts[0] > 0, np.log10((counts[0] + 1) / (n + v + 1))
+        first = np.cumsum([1, *(len(c) for c in counts)])  # number of the first state of each length
+        self.root, self.start = self.base.tolist(), np.where(self.known & (len(found) > 1), first[0] + np.arange(len(counts[0])), 0).tolist()
+        chance, offsets, words, weights, targets = 10 ** self.base, [np.zeros(2, np.int64)], [], [], []
+        fail, back, arcs = [np.zeros(1)], [np.zeros(1, np.int64)], 0
+        for k in range(1, len(found)):
+            shorter, longer, c, mass = found[k - 1], found[k], counts[k], prior[min(k, len(prior)) - 1]
+            context, suffix = shorter.number[longer.at - 1], shorter.number[longer.at]
+            chance = (c + mass * chance[suffix]) / (counts[k - 1][context] + mass)
+            seen = np.flatnonzero(c > 0)
+            words.append(numbers[longer.at[seen]])
+            weights.append(np.log10(chance[seen]))
+            targets.append(first[k] + seen if k < len(found) - 1 else first[k - 1] + suffix[seen])
+            offsets.append(arcs + np.searchsorted(context[seen], np.arange(1, len(counts[k - 1]) + 1)))
+            arcs += len(seen)
+            fail.append(np.log10(mass / (counts[k - 1] + mass)))
+            back.append(first[k - 2] + found[k - 2].number[shorter.at] if k > 1 else np.zeros(len(counts[0]), np.int64))
+        self.offsets, self.fail, self.back = (memoryview(np.concatenate(x)) for x in (offsets, fail, back))
+        self.words, self.weights, self.targets = (memoryview(np.concatenate([np.zeros(0, t), *x])) for x, t in (
+            (words, np.int64), (weights, np.float64), (targets, np.int64)))
+
+    def read(self, words: Iterable[int]) -> float:
+        """Log10 probability of a text: the state is carried from word to word, a missing arc goes down the failure arc."""
+        offsets, own, weights, targets, fail, back = self.offsets, self.words, self.weights, self.targets, self.fail, self.back
+        root, start, state, score = self.root, self.start, 0, 0.0
+        for word in words:
+            while state:
+                end = offsets[state + 1]
+                arc = bisect_left(own, word, offsets[state], end)
+                if arc < end and own[arc] == word:
+                    score += weights[arc]
+                    state = targets[arc]
+                    break
+                score += fail[state]
+                state = back[state]
+            else:
+                score += root[word]
+                state = start[word]
+        return score
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                      ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _scored(blocked: DataFrame, arcs: DataFrame, n: int, v: int, order: int) -> DataFrame:
-    """The traversal: each word by its longest arc, whose chance holds what the failure arcs lead down to it."""
-    def run(texts: pa.Table, own: pa.Table) -> pa.Table:
-        sizes, found = _grams((t for chunk in texts["text"].chunks for t in chunk), order)
-        grams = np.concatenate([np.zeros(0, np.uint64), *_unpacked(own["grams"], np.uint64)])
-        sort = np.argsort(grams)
-        grams = grams[sort]
-        counts = np.concatenate([np.zeros(0, np.int64), *_unpacked(own["counts"], np.int64)])[sort]
-        taken = np.concatenate([np.zeros(0), *_unpacked(own["taken"], np.float64)])[sort]
-        words = found[0][1]
-        known = _found(grams, counts, words)
-        base = (known + 1) / (n + v + 1)
-        chance, above, less = base.copy(), known, _found(grams, taken, words)
-        for ends, keys in found[1:]:
-            c, before = _found(grams, counts, keys), above[ends - 1]
-            some = np.maximum(before, 1)
-            chance[ends] = np.maximum(c - DISCOUNT, 0) / some + (1 - np.where(before > 0, less[ends - 1] / some, 0)) * chance[ends]
-            above, less = np.zeros(len(words), np.int64), np.zeros(len(words))
-            above[ends], less[ends] = c, _found(grams, taken, keys)
+def _scored(blocks: DataFrame, counted: DataFrame, n: int, v: int, order: int) -> DataFrame:
+    """Each block builds the automaton of its own n-grams from the answers and reads its texts with it."""
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        row = texts.to_pylist()[0]
+        sizes, digests, numbers = _read(row)
+        found = grams(sizes, digests, numbers, order)
+        _, place = _distinct(found)
+        totals = np.concatenate([unpacked(c.as_py(), np.int64) for c in answers.sort_by("bucket")["counts"]])[place]
+        counts = np.split(totals, np.cumsum([len(f.keys) for f in found])[:-1])
+        model = Automaton(found, counts, n, v)
         starts = np.cumsum(sizes) - sizes
-        add = lambda x: np.add.reduceat(x, starts) if len(starts) else x[:0]
-        return pa.Table.from_arrays([texts["doc_id"], texts["held_out"], pa.array(sizes), pa.array(add((known > 0).astype(np.int64))),
-                                     pa.array(add(np.log10(base))), pa.array(add(np.log10(chance)))], schema=_SCORED)
+        scores = [model.read(numbers[a:a + size].tolist()) for a, size in zip(starts, sizes)]
+        columns = (row["doc_ids"], row["held_out"], sizes, np.add.reduceat(model.known[numbers].astype(np.int64), starts),
+                   np.add.reduceat(model.base[numbers], starts), scores)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _SCORED.types)], schema=_SCORED)
 
-    return blocked.groupBy("block").cogroup(arcs.groupBy("block")).applyInArrow(
+    own = counted.filter(F.col("block").isNotNull()).select("block", "bucket", "counts")
+    return blocks.select("block", "doc_ids", "held_out", "sizes", "words", "tokens").groupBy("block").cogroup(own.groupBy("block")).applyInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
-def scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scores(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs``.
 
     A text's tokens are its words and one end. Null and empty texts are an end alone; repeated rows count as
@@ -320,10 +290,10 @@ def scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col
     """
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
                        F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"))
-    blocked = cut(_blocked(rows))
-    size = blocked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = cut(_blocked(rows))
+    size = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     buckets = max(BUCKETS, math.ceil(size / BUCKET))
-    counted = cut(_counted(_asked(blocked, order, buckets), buckets))
+    counted = cut(_counted(_asked(blocks, order, buckets), buckets))
     n, v = counted.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    done = _scored(blocked, _arcs(counted), n, v, order)
+    done = _scored(blocks, counted, n, v, order)
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -184,7 +184,7 @@ def test_mixing_meets_targets(spark, odd):
     assert got == {"b": 20, None: 20, "c": 200, "a": pytest.approx(1.5 * 1120 - 240)}
 
 
-def test_scores_equal_brute_force_and_sum_to_one(spark, odd):
+def test_base_scores_equal_brute_force(spark, odd):
     docs = docs_of(spark, odd)
     train = Counter()
     for i, t, _ in odd:
@@ -196,22 +196,10 @@ def test_scores_equal_brute_force_and_sum_to_one(spark, odd):
     for r in rows:
         bases = []
         for t in [t for i, t, _ in odd if i == r["doc_id"]]:
-            w = lm_scoring.tokens((t or "").encode())
+            w = list(lm_scoring.tokens((t or "").encode()))
             bases.append((len(w), sum(x in train for x in w), sum(math.log10((train[x] + 1) / (n + v + 1)) for x in w)))
         assert any(b[:2] == (r["n_tokens"], r["n_known"]) and abs(b[2] - r["base_score"]) < 1e-9 for b in bases)
         assert r["train_tokens"] == n and r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2)
-    words = ("a b c a b c a b d a b c b c a b " * 6).split()
-    counts = Counter(w.encode() for w in words)
-    core = {w: k + 1 for k, w in enumerate(sorted(counts))}
-    ids, base = [core[w.encode()] for w in words], len(core) + 1
-    grams = [(2, g, c) for g, c in Counter(a * base + b for a, b in zip(ids, ids[1:])).items() if c > 1]
-    grams += [(3, g, c) for g, c in Counter((a * base + b) * base + d for a, b, d in zip(ids, ids[1:], ids[2:])).items() if c > 1]
-    model = lm_scoring.Automaton(dict(counts), core, grams, len(words), len(counts))
-    unseen = 10 ** (0 - model.norm)
-    for history in ([], [b"a"], [b"a", b"b"], [b"c", b"a"], [b"d", b"d"]):
-        before = model.run(history)[0]
-        total = sum(10 ** (model.run([*history, w])[0] - before) for w in core) + 10 ** (model.run([*history, b"zz"])[0] - before) * unseen
-        assert total == pytest.approx(1, abs=0.02)  # the last word of the text has no follower
     assert lm_scoring.scores(docs.limit(0)).count() == 0
 
 
