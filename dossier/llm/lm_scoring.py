@@ -11,7 +11,7 @@ Smoothing takes each shorter context as a prior of ``PRIOR`` imagined tokens: p(
 chances of all words after a context sum to one. An n-gram that was not seen has the chance K / (c(h) + K) p(w | h'),
 so the first factor is the weight of the failure arc and does not depend on w.
 
-N-grams are known by 63-bit digests: among 4e9 different ones about one pair is taken for one.
+N-grams are known by digests of ``BITS`` bits: among 4e9 different ones some 60 pairs are taken for one.
 """
 from __future__ import annotations
 
@@ -32,9 +32,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dossier.session import cut
 
-BLOCK = 6_000_000  # bytes of text that ask together
+BLOCK = 7_000_000  # bytes of text that ask together
 BUCKET, BUCKETS = 16_000_000, 256  # bytes of text for each bucket of digests, and the least number of buckets
 PRIOR = (150.0, 30.0)  # imagined tokens of the shorter context, for contexts of one word, of two and more
+BITS = 58  # of a digest; the last tells words from longer n-grams
 PIECE = 1 << 20  # bytes of a text split at a time
 END = b""  # no word is empty
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -90,7 +91,7 @@ def _blocked(rows: DataFrame) -> DataFrame:
             common = np.argsort(-np.bincount(whole, minlength=len(number)), kind="stable")
             rank = np.empty(len(number), np.uint32)
             rank[common] = np.arange(len(number), dtype=np.uint32)
-            digests = np.fromiter((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") | 1 for w in number),
+            digests = np.fromiter((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") >> 64 - BITS | 1 for w in number),
                                   np.uint64, len(number))
             values = (block, ids, held, [len(p) for p in parts], packed(digests[common]), packed(rank[whole]), done)
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, _BLOCKS.types)], schema=_BLOCKS)
@@ -126,7 +127,7 @@ def _mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(29)
-    return x & ~np.uint64(1)
+    return x >> np.uint64(64 - BITS) & ~np.uint64(1)
 
 
 def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +178,7 @@ _ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("grams", pa.
 
 
 def _edges(buckets: int) -> np.ndarray:
-    return np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
+    return np.array([(k << BITS) // buckets for k in range(buckets)], np.uint64)
 
 
 def _asked(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
