@@ -667,6 +667,28 @@ SELECT document_type, {label('document_type', {'passport': 'Passport (ICAO TD3)'
        round_even(avg(confidence), 2) AS avg_confidence
 FROM q_status JOIN (SELECT document_id, confidence FROM b_docs) d USING (document_id)
 WHERE document_type <> 'voter_id' GROUP BY 1"""
+def _csv(*values: str) -> str:
+    return " || ',' || ".join(f"""'"' || replace(coalesce({v}, ''), '"', '""') || '"'""" for v in values)
+
+
+SQL["analytics_export"] = f"""
+SELECT 'kpis' AS section, FALSE AS is_row, '"METRIC","VALUE"' AS line
+UNION ALL SELECT 'trend', FALSE, '"DATE","VALID","UNDER_REVIEW","HIGH_RISK","TOTAL_SCREENED"'
+UNION ALL SELECT 'ranking', FALSE, '"DISCREPANCY FIELD","OCCURRENCE COUNT","PERCENTAGE OF TOTAL CONFLICTS"'
+UNION ALL SELECT 'types', FALSE, '"DOCUMENT TYPE","COUNT","SHARE (%)","PASS RATE (%)","OCR CONFIDENCE"'
+UNION ALL SELECT 'kpis', TRUE, {_csv("m", "v")} FROM (SELECT unnest([
+  {{'m': 'Total Cases Screened', 'v': total_cases::VARCHAR}}, {{'m': 'Verification Passed', 'v': valid_count::VARCHAR}},
+  {{'m': 'Under Review', 'v': review_count::VARCHAR}}, {{'m': 'High Risk / Fraud Detected', 'v': high_risk_count::VARCHAR}},
+  {{'m': 'Pass Rate (%)', 'v': pass_rate::DOUBLE::VARCHAR || '%'}},
+  {{'m': 'Average Risk Index (0-100)', 'v': average_risk_score::DOUBLE::VARCHAR}},
+  {{'m': 'Average Processing Duration', 'v': avg_processing_time_ms::VARCHAR || ' ms'}},
+  {{'m': 'Total Documents Inspected', 'v': total_documents::VARCHAR}},
+  {{'m': 'Facial Biometric Checks', 'v': face_checks::VARCHAR}}], recursive := true) FROM q_kpis) t
+UNION ALL SELECT 'trend', TRUE, {_csv("slot", "valid::VARCHAR", "under_review::VARCHAR", "high_risk::VARCHAR", "total::VARCHAR")}
+FROM ({SQL["volume_trend"]}) t
+UNION ALL SELECT 'ranking', TRUE, {_csv("label", "count::VARCHAR", "percentage::DOUBLE::VARCHAR || '%'")} FROM q_ranking
+UNION ALL SELECT 'types', TRUE, {_csv("label", "count::VARCHAR", "percentage::DOUBLE::VARCHAR || '%'", "pass_rate::DOUBLE::VARCHAR || '%'",
+                                      "format('{:.2f}', avg_confidence::DOUBLE)")} FROM ({SQL["document_type_mix"]}) t"""
 STEPS["q_signal_hits"] = (("b_forensics", "q_validations", "q_face_rows"), """
 SELECT case_id, 1 AS w, CASE finding_type WHEN 'copy_move_anomaly' THEN 'copy_move_cloning' ELSE finding_type END AS k, score
 FROM b_forensics WHERE finding_type <> 'metadata_tamper_indicator'

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
@@ -439,6 +440,19 @@ def document_type_mix(b: Bindings) -> DataFrame:
     return analytics.type_mix(b.docs, screened(b).statuses)
 
 
+@query
+def analytics_export(b: Bindings) -> DataFrame:
+    """The four sections written as CSV datasets, and the lines read back from them."""
+    s = screened(b)
+    sections = sinks.analytics_sections(
+        analytics.kpis(b.cases, b.docs, s.face_rows, b.stages),
+        analytics.volume_trend(listing.in_range(b.cases, "created_on", "90d", as_of()), 90, as_of()),
+        analytics.discrepancy_ranking(s.findings), analytics.type_mix(b.docs, s.statuses))
+    folder = f"{shared_dir(b.spark)}/analytics-{uuid.uuid4().hex}"
+    sinks.export_analytics(sections, folder)
+    return sinks.exported_lines(b.spark, sections, folder)
+
+
 @query
 def signal_rates(b: Bindings) -> DataFrame:
     s = screened(b)
@@ -992,7 +1006,6 @@ def _stream(b: Bindings, name: str) -> DataFrame:
 
 
 def _run(b: Bindings, stream: DataFrame) -> DataFrame:
-    import uuid
     place = f"{shared_dir(b.spark)}/stream-{uuid.uuid4().hex}"
     return jobs.run_available(stream, f"{place}/out", f"{place}/checkpoint")
 
@@ -1054,7 +1067,6 @@ def stream_reuse(b: Bindings) -> DataFrame:
 @query
 def stream_notices(b: Bindings) -> DataFrame:
     """Finished cases leave notices in an outbox, batch by batch."""
-    import uuid
     place = f"{shared_dir(b.spark)}/notices-{uuid.uuid4().hex}"
     found = cut(notices.discrepancies(
         agreement.consistency(agreement.clusters(agreement.field_values(b.fields))),

@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 AUDIT_COLUMNS = {
     "id": "Event ID", "created_at": "Timestamp", "actor_name": "Actor", "action": "Action", "case_id": "Case ID",
@@ -31,10 +32,51 @@ def export_audit_csv(events: DataFrame, path: str) -> None:
         "lineSep", "\r\n").csv(path)
 
 
+# Titles of the exported key figures and of the columns of the other sections, and what follows a figure.
+KPI_TITLES = {
+    "total_cases": ("Total Cases Screened", ""), "valid_count": ("Verification Passed", ""), "review_count": ("Under Review", ""),
+    "high_risk_count": ("High Risk / Fraud Detected", ""), "pass_rate": ("Pass Rate (%)", "%"),
+    "average_risk_score": ("Average Risk Index (0-100)", ""), "avg_processing_time_ms": ("Average Processing Duration", " ms"),
+    "total_documents": ("Total Documents Inspected", ""), "face_checks": ("Facial Biometric Checks", ""),
+}
+SECTION_TITLES = {
+    "trend": {"slot": ("DATE", ""), "valid": ("VALID", ""), "under_review": ("UNDER_REVIEW", ""), "high_risk": ("HIGH_RISK", ""),
+              "total": ("TOTAL_SCREENED", "")},
+    "ranking": {"label": ("DISCREPANCY FIELD", ""), "count": ("OCCURRENCE COUNT", ""),
+                "percentage": ("PERCENTAGE OF TOTAL CONFLICTS", "%")},
+    "types": {"label": ("DOCUMENT TYPE", ""), "count": ("COUNT", ""), "percentage": ("SHARE (%)", "%"), "pass_rate": ("PASS RATE (%)", "%"),
+              "avg_confidence": ("OCR CONFIDENCE", "")},
+}
+
+
+def analytics_sections(kpis: DataFrame, trend: DataFrame, ranking: DataFrame, types: DataFrame) -> dict[str, DataFrame]:
+    """The four exported sections as text: one row per key figure, the others with their titled columns."""
+    def text(column: str, unit: str) -> Column:
+        value = F.format_string("%.2f", column) if column == "avg_confidence" else F.col(column).cast("string")
+        return F.when(F.col(column).isNull(), "").otherwise(F.concat(value, F.lit(unit)))
+
+    figures = kpis.select(F.explode(F.array(*[
+        F.struct(F.lit(title).alias("METRIC"), text(c, unit).alias("VALUE")) for c, (title, unit) in KPI_TITLES.items()])).alias("figure"))
+    given = {"trend": trend, "ranking": ranking, "types": types}
+    return {"kpis": figures.select("figure.*")} | {
+        name: df.select(*[text(c, unit).alias(title) for c, (title, unit) in SECTION_TITLES[name].items()]) for name, df in given.items()}
+
+
 def export_analytics(sections: Mapping[str, DataFrame], folder: str) -> None:
     """One CSV dataset per section (key figures, trends, discrepancy ranking, document types)."""
     for name, df in sections.items():
-        df.write.option("header", True).csv(f"{folder.rstrip('/')}/{name}")
+        df.write.option("header", True).option("escape", '"').csv(f"{folder.rstrip('/')}/{name}")
+
+
+def exported_lines(spark: SparkSession, sections: Mapping[str, DataFrame], folder: str) -> DataFrame:
+    """The lines of exported sections, all values quoted: of each section its titles (``is_row`` false) and its rows."""
+    def lines(name: str, own: DataFrame) -> DataFrame:
+        back = spark.read.schema(own.schema).option("header", True).option("escape", '"').csv(f"{folder.rstrip('/')}/{name}").na.fill("")
+        titles = spark.range(1).select(*[F.lit(c).alias(c) for c in back.columns])
+        return quoted_line(titles).withColumn("is_row", F.lit(False)).unionByName(quoted_line(back).withColumn("is_row", F.lit(True))).select(
+            F.lit(name).alias("section"), "is_row", "line")
+
+    return reduce(DataFrame.unionByName, [lines(name, own) for name, own in sections.items()])
 
 
 def next_versions(existing: DataFrame, incoming: DataFrame, width: int = 1000) -> DataFrame:
